@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import lookalike, tokens
+from pageloom.llm import lookalike, styletree, tokens
 from pageloom.session import table
 
 
@@ -16,11 +16,15 @@ def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_text(table(spark, sf, "links"), "text", ["page_id", "pos"])
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return styletree.noise_blocks(table(spark, sf, "fetch_results"), table(spark, sf, "blocks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p5_found": p5_found, "p6_ids": p6_ids}
 
 ORACLE = {
     "p1_texts": f"SELECT page_id, pos, {lookalike.canonical_sql('text')} AS canon FROM links",
