@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letters they look like, in the order of their code points.
 LOOKALIKE = {
-    "ı": "i", "ɡ": "g", "ɩ": "i", "ϲ": "c", "ϳ": "j", "ο": "o", "Ϲ": "C",
+    "ı": "i", "ɡ": "g", "ɩ": "i", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "Ѐ": "È", "Ё": "Ë", "Ѕ": "S", "І": "I", "Ї": "Ï", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѐ": "è", "ё": "ë", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j",
