@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import garbled, lookalike, styletree, tokens
+from pageloom.llm import garbled, lookalike, residue, styletree, tokens
 from pageloom.session import table
 
 
@@ -16,6 +16,14 @@ def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_text(table(spark, sf, "links"), "text", ["page_id", "pos"])
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_pages(table(spark, sf, "fetch_results")).select("page_id")
+
+
+def p2_usable(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.usable_pages(table(spark, sf, "fetch_results")).select("page_id", "url", "status")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.examine_pages(table(spark, sf, "fetch_results"), with_html=False).select("page_id")
 
@@ -32,7 +40,7 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_usable": p2_usable, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_ids": p6_ids}
 
 ORACLE = {
     "p1_texts": f"SELECT page_id, pos, {lookalike.canonical_sql('text')} AS canon FROM links",

@@ -41,6 +41,26 @@ _NODES = pa.schema([
 _NODES_DDL = "host string, page_id long, page_blocks int, chain string, node string, block_ids array<int>, texts array<long>, opening long, chars int, letters int, linked int, titles int, cells int"
 
 
+_WORD = re.compile(r"[^\W\d_]{4}").search
+
+
+def nodes_of(outline, blocks: list, digest, mask: int) -> list[tuple[tuple[str, ...], list]]:
+    """(chain, [block ids, text digests, digest of the opening, characters, of these in texts with words, in anchors, titles, cells]) by node."""
+    nodes: dict[int, list] = {}
+    for i, (chain, kind, text, linked) in enumerate(blocks):
+        n = nodes.get(chain)
+        if n is None:
+            n = nodes[chain] = [[], [], digest(" ".join(text.split(" ", 2)[:2])) & mask, 0, 0, 0, 0, 0]
+        n[0].append(i)
+        n[1].append(digest(text) & mask)
+        n[3] += len(text)
+        n[4] += len(text) if _WORD(text) else 0
+        n[5] += linked
+        n[6] += kind == "h1"
+        n[7] += kind in _CELLS
+    return [(outline.chains[chain], n) for chain, n in nodes.items()]
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
     """A row for each page and style node with text of its own."""
 
@@ -50,26 +70,11 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         from pageloom.functions.outline import Outliner
 
         outline, digest, mask = Outliner(), xxhash.xxh3_64_intdigest, (1 << 63) - 1
-        word = re.compile(r"[^\W\d_]{4}").search
         for b in batches:
             rows = []
             for page_id, host, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 blocks = outline.blocks(html)
-                nodes: dict[int, list] = {}
-                for i, (chain, kind, text, linked) in enumerate(blocks):
-                    n = nodes.get(chain)
-                    if n is None:
-                        n = nodes[chain] = [[], [], digest(" ".join(text.split(" ", 2)[:2])) & mask, 0, 0, 0, 0, 0]
-                    n[0].append(i)
-                    n[1].append(digest(text) & mask)
-                    n[3] += len(text)
-                    n[4] += len(text) if word(text) else 0
-                    n[5] += linked
-                    n[6] += kind == "h1"
-                    n[7] += kind in _CELLS
-                for chain, n in nodes.items():
-                    names = outline.chains[chain]
-                    rows.append((host, page_id, len(blocks), "\x1f".join(names), names[-1] if names else "", *n))
+                rows += [(host, page_id, len(blocks), "\x1f".join(names), names[-1] if names else "", *n) for names, n in nodes_of(outline, blocks, digest, mask)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODES, strict=True)], schema=_NODES)
 
