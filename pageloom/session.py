@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a local one only where none is set."""
+    """The folder that all executors share, as the cluster names it; a local one only where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-ckpt-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, so that its lineage ends there and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """df as a table written to the shared folder and read again: its lineage ends there, lost executors lose nothing.
 
-
-def read_slots(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
+    Compressed and columnar, so that later steps read only the columns they
+    need.  The folder belongs to the cluster, which clears it when the
+    application is over."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    out = df if partitions is None else df.coalesce(partitions)
+    out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def col_or_null(df: DataFrame, name: str, kind: str):
