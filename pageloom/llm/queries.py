@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import garbled, lookalike, residue, styletree, tokens
+from pageloom.llm import garbled, lookalike, mixing, reading, residue, styletree, tokens
 from pageloom.session import table
 
 
@@ -40,7 +40,23 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_usable": p2_usable, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares_of(p7_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_levels(spark, sf).where("reading_level >= 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_usable": p2_usable, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
 
 ORACLE = {
     "p1_texts": f"SELECT page_id, pos, {lookalike.canonical_sql('text')} AS canon FROM links",

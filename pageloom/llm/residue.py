@@ -72,7 +72,8 @@ _PLACEHOLDER = re.compile("|".join(m.replace("NAME", _NAME) for m in _MARKS))
 _PROGRAM_WORD = re.compile(r"(?<![\w.\-/„“\"'«‘’])(?:undefined|NaN|null|nil|None)(?![\w.\-/“”\"'»’])")
 _MAYBE_MARK = re.compile(r"[{%@_#$\[«]|undefined|TODO|NaN|null|nil|None")
 
-_FOLD = {ord(chr(c + 0xFEE0)): chr(c) for c in range(0x21, 0x7F)} | {ord(a): b for a, b in LOOKALIKE.items()} | {ord(a): b for a, b in LIGATURES.items()}
+_FOLD = {c + 0xFEE0: chr(c) for c in range(0x21, 0x7F)} | {ord(a): b for a, b in LOOKALIKE.items()} | {ord(a): b for a, b in LIGATURES.items()} | dict.fromkeys([0xA0, 0x202F, 0x3000, *range(0x2000, 0x200B)], " ")
+_FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
 _DROP = re.compile(r"[^\x20-\x7e]+")
 
 
@@ -89,20 +90,33 @@ def _compiled(lines: str) -> re.Pattern:
 
 _MESSAGE, _FILL = _compiled(MESSAGES), _compiled(FILLERS)
 _WORD = re.compile(r"[a-z']+")
+_DIGITS = re.compile(r"\d+")
 
 
-def is_filler(plain: str) -> bool:
-    """Whether a text (as bare() gives it) is filler: by phrase, by vocabulary, or words that say nothing."""
-    if _FILL.search(plain) and len(plain) < 400:
+def _is_filler(text: str, plain: str, words: list[str]) -> bool:
+    """By vocabulary, or words that say nothing."""
+    n, distinct = len(words), set(words)
+    if n < 3:
+        return False
+    if len(distinct) == 1 or all(len(w) > 1 and w == w[0] * len(w) for w in words):
         return True
-    words = _WORD.findall(plain)
-    if len(words) >= 4 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words) and sum(w in _FUNCTION_WORDS for w in words) <= 0.2 * len(words):
-        return True
-    if len(words) >= 3 and all(len(set(w)) == 1 and len(w) > 1 for w in words):
-        return True
-    if len(words) >= 6 and plain.count(",") <= 1 and not any(w in _FUNCTION_WORDS for w in words) and len(set(words)) <= 0.8 * len(words):
+    function = len(distinct & _FUNCTION_WORDS)
+    if n >= 4 and function <= 0.25 * len(distinct) and sum(w in FILLER_WORDS for w in words) >= 0.7 * n:
         return True
-    return len(words) >= 3 and len(set(words)) == 1
+    # Invented words: some come again, none is a word that real sentences can't do without, no noun or name stands out.
+    return not function and n >= 6 and len(distinct) < n and "," not in plain and text[1:] == text[1:].lower() and not _DIGITS.search(plain)
+
+
+# Each phrase above has one of these words.
+_ANCHORS = frozenset(
+    _DROP.sub("", """
+nicht gibt existiert entfernt abgelaufen vermittelt zurückgezogen gelöscht führt inhalt hier hoppla ups fehler läuft wartungsarbeiten versuchen anfragen bitte prüfen bestätigen
+aktivieren skripten skripte text später blindtext musterabsatz mustertext platzhalter beispieltext not error longer exist exists nothing gone taken matching gateway unavailable internal answer available again
+maintenance denied blocked requests checking confirm verify unusual javascript scripts introuvable existe plus été rien rompu aucun erreur momentanément requêtes vérifions confirmez humain
+encontramos ya retirado nada está ningún inténtelo peticiones comprobando confirme traceback fatal warning uncaught sql template sample replace supplied coming ignore dummy
+contenido próximamente folgt venir escriba texto párrafo contenu texte paragraphe votre remplacez remplace lorem ipsum bla asdf find
+""").split()
+)
 
 
 def label_text(kind: str, text: str) -> tuple[int, str]:
@@ -110,16 +124,18 @@ def label_text(kind: str, text: str) -> tuple[int, str]:
     plain = bare(text)
     if kind != "pre" and _MAYBE_MARK.search(text) and (_PLACEHOLDER.search(text) or _PROGRAM_WORD.search(text)):
         return PLACEHOLDER, plain
-    if len(plain) < 220 and _MESSAGE.search(plain):
-        return MESSAGE, plain
-    if is_filler(plain):
-        return FILLER, plain
-    return REAL, plain
+    words = _WORD.findall(plain)
+    if len(plain) < 400 and (not _ANCHORS.isdisjoint(words) or "xception" in plain or "qwert" in plain):
+        if len(plain) < 220 and _MESSAGE.search(plain):
+            return MESSAGE, plain
+        if _FILL.search(plain):
+            return FILLER, plain
+    return (FILLER if _is_filler(text, plain, words) else REAL), plain
 
 
 def shingles(plain: str, words: int = 5) -> list[str]:
     """Five-word shingles of a bare text with its numbers masked; a shorter text is its own only one."""
-    w = re.sub(r"\d+", "0", plain).split()
+    w = _DIGITS.sub("0", plain).split()
     return [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] if len(w) > words else [" ".join(w)] if w else []
 
 
@@ -135,7 +151,7 @@ def simhash(hashes) -> int:
 _SHELL = re.compile(r"""(?:<(?:main|div|section|article)\b[^>]*>\s*|<div id=["']?(?:root|app|__next|__nuxt)["']?[^>]*>\s*</div>\s*)<noscript""", re.I)
 _TITLES = frozenset(("h1", "h2"))
 
-_UNITS = "host string, page_id long, node string, chain string, block_ids array<int>, texts array<long>, opening long, chars int, letters int, linked int, titles int, cells int, page_blocks int, units array<long>, labels array<int>, heads array<boolean>, sims array<long>, prints array<array<int>>, shell boolean"
+_UNITS = "host string, page_id long, node string, chain string, block_ids array<int>, opening long, chars int, letters int, linked int, titles int, cells int, page_blocks int, units array<long>, labels array<int>, heads array<boolean>, sims array<long>, prints array<array<smallint>>, shell boolean"
 
 
 def page_units(pages: DataFrame) -> DataFrame:
@@ -146,7 +162,7 @@ def page_units(pages: DataFrame) -> DataFrame:
     names = [x.split(" ")[0] for x in _UNITS.split(", ")]
     types = {
         "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-        "array<boolean>": pa.list_(pa.bool_()), "array<array<int>>": pa.list_(pa.list_(pa.int32())),
+        "array<boolean>": pa.list_(pa.bool_()), "array<array<smallint>>": pa.list_(pa.list_(pa.int16())),
     }
     kinds = [types[x.split(" ", 1)[1]] for x in _UNITS.split(", ")]
 
@@ -169,7 +185,7 @@ def page_units(pages: DataFrame) -> DataFrame:
             if len(known) > 100_000:
                 known.clear()
             known[key] = one
-            return *one, [h & 0x7FFFFFFF for h in hashes]
+            return *one, [h & 0x7FFF for h in hashes]
 
         for b in batches:
             rows = []
@@ -177,11 +193,11 @@ def page_units(pages: DataFrame) -> DataFrame:
                 blocks = outline.blocks(html)
                 shell = "<noscript" in html and _SHELL.search(html) is not None
                 if not blocks:
-                    rows.append((host, page_id, None, "", [], [], 0, 0, 0, 0, 0, 0, 0, [], [], [], [], [], shell))
+                    rows.append((host, page_id, None, "", [], 0, 0, 0, 0, 0, 0, 0, [], [], [], [], [], shell))
                 for names_of, n in styletree.nodes_of(outline, blocks, digest, mask):
                     us = [unit(blocks[i][1], blocks[i][2]) for i in n[0]]
                     heads = [blocks[i][1] in _TITLES for i in n[0]]
-                    rows.append((host, page_id, names_of[-1] if names_of else "", "\x1f".join(names_of), *n, len(blocks), [u[0] for u in us], [u[1] for u in us], heads, [u[2] for u in us], [u[3] for u in us], shell))
+                    rows.append((host, page_id, names_of[-1] if names_of else "", "\x1f".join(names_of), n[0], *n[2:], len(blocks), [u[0] for u in us], [u[1] for u in us], heads, [u[2] for u in us], [u[3] for u in us], shell))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -238,7 +254,8 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     its notes quote a message, or if the body is the empty root of an
     application with a demand for scripts.  Repeated rows of a page_id count once."""
     units = cut(page_units(pages))
-    nodes = units.where("node is not null")
+    # Texts that differ in numbers only are one text to the style tree here.
+    nodes = units.where("node is not null").withColumn("texts", F.col("units"))
     verdicts = styletree.node_verdicts(nodes).select("host", "node", "why")
     exploded = nodes.select(F.explode(F.arrays_zip("units", "labels", "sims", "prints")).alias("u")).select("u.units", "u.labels", "u.sims", "u.prints")
     distinct = exploded.where("prints is not null").groupBy(F.col("units").alias("unit")).agg(F.max("labels").alias("label"), F.first("sims").alias("sim"), F.first("prints").alias("prints"))
