@@ -73,19 +73,22 @@ _PROGRAM_WORD = re.compile(r"(?<![\w.\-/„“\"'«‘’])(?:undefined|NaN|null
 _MAYBE_MARK = re.compile(r"[{%@_#$\[«]|undefined|TODO|NaN|null|nil|None")
 
 _FOLD = {c + 0xFEE0: chr(c) for c in range(0x21, 0x7F)} | {ord(a): b for a, b in LOOKALIKE.items()} | {ord(a): b for a, b in LIGATURES.items()} | dict.fromkeys([0xA0, 0x202F, 0x3000, *range(0x2000, 0x200B)], " ")
-_FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
+_FOLDED = frozenset(map(chr, _FOLD))
 _DROP = re.compile(r"[^\x20-\x7e]+")
 
 
 def bare(text: str) -> str:
     """text in lower case without look-alikes and without any character beyond ASCII."""
     if not text.isascii():
-        text = re.sub(r"[  -  　]", " ", text).translate(_FOLD)
-    return " ".join(_DROP.sub("", text.lower()).split())
+        if not _FOLDED.isdisjoint(text):
+            text = text.translate(_FOLD)
+        text = text.encode("ascii", "ignore").decode()
+    return " ".join(text.lower().split())
 
 
 def _compiled(lines: str) -> re.Pattern:
-    return re.compile("|".join(_DROP.sub("", line) for line in lines.strip().split("\n")))
+    # A word that is one dropped letter leaves no second blank in a bare text.
+    return re.compile("|".join(_DROP.sub("", line.replace("à ", "")) for line in lines.strip().split("\n")))
 
 
 _MESSAGE, _FILL = _compiled(MESSAGES), _compiled(FILLERS)
@@ -109,13 +112,13 @@ def _is_filler(text: str, plain: str, words: list[str]) -> bool:
 
 # Each phrase above has one of these words.
 _ANCHORS = frozenset(
-    _DROP.sub("", """
+    _DROP.sub("", w) for w in """
 nicht gibt existiert entfernt abgelaufen vermittelt zurückgezogen gelöscht führt inhalt hier hoppla ups fehler läuft wartungsarbeiten versuchen anfragen bitte prüfen bestätigen
 aktivieren skripten skripte text später blindtext musterabsatz mustertext platzhalter beispieltext not error longer exist exists nothing gone taken matching gateway unavailable internal answer available again
 maintenance denied blocked requests checking confirm verify unusual javascript scripts introuvable existe plus été rien rompu aucun erreur momentanément requêtes vérifions confirmez humain
 encontramos ya retirado nada está ningún inténtelo peticiones comprobando confirme traceback fatal warning uncaught sql template sample replace supplied coming ignore dummy
 contenido próximamente folgt venir escriba texto párrafo contenu texte paragraphe votre remplacez remplace lorem ipsum bla asdf find
-""").split()
+""".split()
 )
 
 
@@ -133,19 +136,41 @@ def label_text(kind: str, text: str) -> tuple[int, str]:
     return (FILLER if _is_filler(text, plain, words) else REAL), plain
 
 
-def shingles(plain: str, words: int = 5) -> list[str]:
-    """Five-word shingles of a bare text with its numbers masked; a shorter text is its own only one."""
-    w = _DIGITS.sub("0", plain).split()
-    return [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] if len(w) > words else [" ".join(w)] if w else []
+class Prints:
+    """Prints of texts: 64-bit hashes of their five-word shingles, numbers masked.  A text of fewer words is its own only shingle."""
 
+    #: Odd multipliers of the places in a shingle.
+    PLACES = [0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1 for i in range(5)]
 
-def simhash(hashes) -> int:
-    """64 bits: of each bit what most of the hashes have."""
-    import numpy as np
+    def __init__(self) -> None:
+        import numpy as np
+        import xxhash
 
-    a = np.asarray(hashes, np.uint64)
-    bits = np.unpackbits(a.view(np.uint8).reshape(len(a), 8), axis=1).sum(0)
-    return int(np.packbits(bits * 2 > len(a)).view(np.int64)[0])
+        self.np, self.digest, self.words = np, xxhash.xxh3_64_intdigest, {}
+        self.places = [np.uint64(p) for p in self.PLACES]
+
+    def of(self, plain: str) -> tuple[int, int, list[int]]:
+        """(unit, SimHash, prints of 15 bits) of a bare text; the unit is a hash of the whole masked text."""
+        np = self.np
+        masked = _DIGITS.sub("0", plain)
+        unit = self.digest(masked) & ((1 << 63) - 1)
+        w = masked.split(" ")
+        if len(w) <= 5:
+            return unit, unit, [unit & 0x7FFF] if masked else []
+        known = self.words
+        if len(known) > 500_000:
+            known.clear()
+        for x in w:
+            if x not in known:
+                known[x] = self.digest(x)
+        a = np.array([known[x] for x in w], np.uint64)
+        n = len(w) - 4
+        h = a[:n] * self.places[0]
+        for i in range(1, 5):
+            h ^= a[i : i + n] * self.places[i]
+        h = (h ^ (h >> np.uint64(31))) * self.places[0]
+        ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1).sum(0)
+        return unit, int(np.packbits(ones * 2 > n).view(np.int64)[0]), (h >> np.uint64(49)).astype(np.int16).tolist()
 
 
 _SHELL = re.compile(r"""(?:<(?:main|div|section|article)\b[^>]*>\s*|<div id=["']?(?:root|app|__next|__nuxt)["']?[^>]*>\s*</div>\s*)<noscript""", re.I)
@@ -171,7 +196,7 @@ def page_units(pages: DataFrame) -> DataFrame:
 
         from pageloom.functions.outline import Outliner
 
-        outline, digest, mask = Outliner(), xxhash.xxh3_64_intdigest, (1 << 63) - 1
+        outline, digest, mask, prints = Outliner(), xxhash.xxh3_64_intdigest, (1 << 63) - 1, Prints()
         known: dict[tuple[bool, str], tuple[int, int, int]] = {}
 
         def unit(kind: str, text: str) -> tuple[int, int, int, list[int] | None]:
@@ -179,13 +204,11 @@ def page_units(pages: DataFrame) -> DataFrame:
             if key in known:
                 return *known[key], None
             label, plain = label_text(kind, text)
-            parts = shingles(plain)
-            hashes = [digest(s) for s in parts]
-            one = (digest("\n".join(parts)) & mask, label, simhash(hashes) if len(hashes) > 1 else hashes[0] & mask if hashes else 0)
+            u, sim, hashes = prints.of(plain)
             if len(known) > 100_000:
                 known.clear()
-            known[key] = one
-            return *one, [h & 0x7FFF for h in hashes]
+            known[key] = u, label, sim
+            return u, label, sim, hashes
 
         for b in batches:
             rows = []
