@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pageloom.functions.patterns import FIELD_TYPES, MAX_CHARS, NUMERIC, TEXT_CHARS, TYPED, UMLAUTS, UNI_WS
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normalize(c: Column) -> Column:
     """White space collapsed and trimmed; null becomes empty.  Entities are resolved where pages are parsed."""
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"{UNI_WS}+", " "))
@@ -46,47 +51,56 @@ def value_from(c: Column, kind: str) -> Column:
 
 def parse_number(c: Column) -> Column:
     """German and English notation; the last separator of two kinds is the decimal one; null without a number."""
-    raw = F.regexp_extract(normalize(c), r"-?\d[\d.,' ]*", 0)
-    n = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"[' ]", ""), r"[.,]+$", ""), "^-", "")
-    dots, commas = F.length(n) - F.length(F.replace(n, F.lit("."))), F.length(n) - F.length(F.replace(n, F.lit(",")))
-    no_comma, no_dot = F.replace(n, F.lit(",")), F.replace(n, F.lit("."))
-    plain = (
-        F.when((dots > 0) & (commas > 0), F.when(F.length(F.substring_index(n, ".", -1)) < F.length(F.substring_index(n, ",", -1)), no_comma).otherwise(F.replace(no_dot, F.lit(","), F.lit("."))))
-        .when(commas > 1, no_comma)
-        .when(commas == 1, F.replace(n, F.lit(","), F.lit(".")))
-        .when((dots > 0) & n.rlike(r"^\d{1,3}(\.\d{3})+$"), no_dot)
-        .otherwise(n)
-    )
-    value = plain.try_cast("double")
-    return F.when(raw == "", F.lit(None).cast("double")).when(raw.startswith("-"), -value).otherwise(value)
+    # Digits of other widths and scripts count as digits.
+    ascii_digits = F.translate(normalize(c), "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
+    raw = F.regexp_extract(ascii_digits, r"-?\d[\d.,' ]*", 0)
+    digits = F.regexp_replace(F.regexp_replace(raw, r"[' ]", ""), r"[.,]+$", "")
+
+    def value(n: Column) -> Column:
+        dots, commas = F.length(n) - F.length(F.replace(n, F.lit("."))), F.length(n) - F.length(F.replace(n, F.lit(",")))
+        no_comma, no_dot = F.replace(n, F.lit(",")), F.replace(n, F.lit("."))
+        plain = (
+            F.when((dots > 0) & (commas > 0), F.when(F.length(F.substring_index(n, ".", -1)) < F.length(F.substring_index(n, ",", -1)), no_comma).otherwise(F.replace(no_dot, F.lit(","), F.lit("."))))
+            .when(commas > 1, no_comma)
+            .when(commas == 1, F.replace(n, F.lit(","), F.lit(".")))
+            .when((dots > 0) & n.rlike(r"^-?\d{1,3}(\.\d{3})+$"), no_dot)
+            .otherwise(n)
+        )
+        return plain.try_cast("double")
+
+    return let(digits, value)
 
 
 def validate(c: Column, kind: str, low: float | None = None, high: float | None = None, pattern: str | None = None, max_chars: int = MAX_CHARS, typed_source: bool = False) -> Column:
     """struct(ok, number, text, reason), the first reason that applies."""
-    text = normalize(c)
-    none = F.lit(None).cast("double")
-    if kind == "text":
-        hit, number = text, none
-    else:
+    def judged(text: Column, hit: Column, number: Column) -> Column:
+        reason = F.when(text == "", "EMPTY").when(F.length(text) > max_chars, "TOO_LONG")
+        if pattern:
+            reason = reason.when(~text.rlike(pattern), "PATTERN_MISMATCH")
+        if kind not in FIELD_TYPES:
+            reason = reason.when(F.lit(True), "UNKNOWN_TYPE")
+        if kind != "text":
+            reason = reason.when(hit == "", "TYPE_MISMATCH")
+        if kind in NUMERIC:
+            reason = reason.when(number.isNull() | ((number != F.floor(number)) if kind == "integer" else F.lit(False)), "TYPE_MISMATCH")
+            if low is not None:
+                reason = reason.when(number < low, "BELOW_MIN")
+            if high is not None:
+                reason = reason.when(number > high, "ABOVE_MAX")
+        return let(reason.otherwise("OK"), lambda r: F.struct(
+            (r == "OK").alias("ok"), F.when(r == "OK", number).alias("number"), F.when((r == "OK") & F.lit(kind not in NUMERIC), F.trim(hit)).alias("text"), r.alias("reason"),
+        ))
+
+    def found(text: Column) -> Column:
+        if kind == "text":
+            return text
         hit = F.regexp_extract(text, _java(kind), 0) if kind in TYPED else F.lit("")
         if typed_source and kind in ("price", "area"):
             hit = F.when(hit == "", F.regexp_extract(text, "(?U)^(?:" + TYPED["number"] + ")$", 0)).otherwise(hit)
-        number = parse_number(hit) if kind in NUMERIC else none
-    bad_number = (number.isNull() | ((number != F.floor(number)) if kind == "integer" else F.lit(False))) if kind in NUMERIC else F.lit(False)
-    reason = F.when(text == "", "EMPTY").when(F.length(text) > max_chars, "TOO_LONG")
-    if pattern:
-        reason = reason.when(~text.rlike(pattern), "PATTERN_MISMATCH")
-    if kind not in FIELD_TYPES:
-        reason = reason.when(F.lit(True), "UNKNOWN_TYPE")
-    if kind != "text":
-        reason = reason.when(hit == "", "TYPE_MISMATCH").when(bad_number, "TYPE_MISMATCH")
-    if kind in NUMERIC and low is not None:
-        reason = reason.when(number < low, "BELOW_MIN")
-    if kind in NUMERIC and high is not None:
-        reason = reason.when(number > high, "ABOVE_MAX")
-    reason = reason.otherwise("OK")
-    ok = reason == "OK"
-    return F.struct(ok.alias("ok"), F.when(ok, number).alias("number"), F.when(ok & F.lit(kind not in NUMERIC), F.trim(hit)).alias("text"), reason.alias("reason"))
+        return hit
+
+    number = lambda hit: parse_number(hit) if kind in NUMERIC else F.lit(None).cast("double")
+    return let(normalize(c), lambda text: let(found(text), lambda hit: let(number(hit), lambda n: judged(text, hit, n))))
 
 
 def equivalent(a: Column, b: Column, kind: str) -> Column:

@@ -44,4 +44,4 @@ PHRASE_MARKERS = ["are you a robot", "are you human", "verify you are human", "u
 CHALLENGE_STATUSES = [202, 401, 403, 503]
 THIN_CHARS = 600
 #: White space as Unicode has it, for Java's and RE2's classes.
-UNI_WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNI_WS = r"[\x{9}-\x{d} \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

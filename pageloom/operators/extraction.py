@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from pageloom.functions import scalars as S
 from pageloom.functions.markup import Page, parse
 from pageloom.functions.patterns import NUMERIC, SHELL_SCORE
 from pageloom.functions.portfolio import Portfolio, teach, visit
+from pageloom.operators.pagegraph import arrow_schema
 from pageloom.session import col_or_null, cut
 
 RESULT = (
@@ -94,19 +94,19 @@ def _ready(specs: list) -> list[dict]:
 
 def _replay(prepared: DataFrame, specs: list[dict], start: dict[str, str], render: str, learn: bool) -> DataFrame:
     """Results and, as rows without page, the state of each (scope, field)."""
-    schema = RESULT + ", state string"
+    ddl = RESULT + ", state string"
+    schema = arrow_schema(ddl)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        books = {f: Portfolio.load(s) for f, s in json.loads(start.get(key[0], "{}")).items()}
-        rows = []
-        for r in pdf.sort_values(["seq", "page_id"]).itertuples(index=False):
-            text = lambda v: v if isinstance(v, str) else None
-            rows += page_fields(books, specs, r.page_id, r.url, key[0], int(r.seq), text(r.html), text(r.rendered), render, learn)
-        rows += [{"scope": key[0], "field": f, "state": json.dumps(b.dump())} for f, b in books.items()]
-        out = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in schema.split(", ")])
-        return out.astype({"compiled": "boolean", "page_id": "Int64", "seq": "Int64"})
+    def one(key, t: pa.Table) -> pa.Table:
+        scope = key[0].as_py()
+        books = {f: Portfolio.load(s) for f, s in json.loads(start.get(scope, "{}")).items()}
+        rows: list[dict] = []
+        for r in sorted(t.to_pylist(), key=lambda r: (r["seq"], r["page_id"] or 0)):
+            rows += page_fields(books, specs, r["page_id"], r["url"], scope, r["seq"], r["html"], r["rendered"], render, learn)
+        rows += [{"scope": scope, "field": f, "state": json.dumps(b.dump())} for f, b in books.items()]
+        return pa.Table.from_pylist(rows, schema)
 
-    return prepared.groupBy("scope").applyInPandas(lambda key, pdf: one(key, pdf), schema)
+    return prepared.groupBy("scope").applyInArrow(lambda key, t: one(key, t), ddl)
 
 
 def replay(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -123,10 +123,9 @@ def apply_rules(prepared: DataFrame, specs: list[dict], states: DataFrame, rende
     known = spark.sparkContext.broadcast({r["scope"]: r["states"] for r in whole.collect()}) if size <= SENT_WHOLE else None
     rows = prepared if known is not None else prepared.join(whole, "scope", "left").select(*prepared.columns, "states")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pageloom.operators.pagegraph import _arrow
+    schema = arrow_schema(RESULT)
 
-        schema = _arrow(RESULT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():

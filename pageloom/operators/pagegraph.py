@@ -22,7 +22,8 @@ GRAPH = (
 )
 
 
-def _arrow(ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; needs a running session, so it is made on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -60,8 +61,9 @@ def page_graph(pages: DataFrame) -> DataFrame:
     url = F.coalesce(col_or_null(pages, "final_url", "string"), col_or_null(pages, "url", "string"), F.lit(""))
     flat = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"))
 
+    schema = arrow_schema(GRAPH)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(GRAPH)
         for b in batches:
             # Few pages at a time: a graph is several times its page.
             for i in range(0, b.num_rows, 512):

@@ -16,6 +16,18 @@ from pageloom.operators.summary import bounded
 K1, B, EMPHASIS, SECTION, TITLE = 1.2, 0.75, 1.0, 0.6, 0.15 * 5.0
 
 
+def _has_token(t: str):
+    return lambda d: F.array_contains(d.tokens, t)
+
+
+def _is(t: str):
+    return lambda x: x == t
+
+
+def _nearness(t: str, depth):
+    return lambda h, i: F.when(F.array_contains(h, t), 0.5 + 0.5 * (i + 1) / depth)
+
+
 def score_blocks(graph: DataFrame, query: str) -> DataFrame:
     """(page_id, block_id, text, section, score, matched) of blocks with a positive score.  A query without tokens finds nothing."""
     import re
@@ -29,15 +41,15 @@ def score_blocks(graph: DataFrame, query: str) -> DataFrame:
     n, total = F.size("docs"), F.aggregate("docs", F.lit(0), lambda a, d: a + F.size(d.tokens))
     g = g.withColumn("n", n).withColumn("avg", F.when(total == 0, 1.0).otherwise(total / n))
     for i, t in enumerate(terms):
-        df = F.size(F.filter("docs", lambda d, t=t: F.array_contains(d.tokens, t)))
+        df = F.size(F.filter("docs", _has_token(t)))
         g = g.withColumn(f"idf{i}", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)))
     rows = g.select("page_id", "title_tokens", "avg", *[f"idf{i}" for i in range(len(terms))], F.explode("docs").alias("d"))
     norm = 1 - B + B * F.size("d.tokens") / F.col("avg")
     score, hit = F.lit(0.0), []
     for i, t in enumerate(terms):
-        tf = F.size(F.filter("d.tokens", lambda x, t=t: x == t))
+        tf = F.size(F.filter("d.tokens", _is(t)))
         depth = F.size("d.heads")
-        near = F.coalesce(F.array_max(F.transform("d.heads", lambda h, k, t=t: F.when(F.array_contains(h, t), 0.5 + 0.5 * (k + 1) / depth))), F.lit(0.0))
+        near = F.coalesce(F.array_max(F.transform("d.heads", _nearness(t, depth))), F.lit(0.0))
         idf, there = F.col(f"idf{i}"), tf > 0
         part = F.when(there, idf * (tf * (K1 + 1) / (tf + K1 * norm)) * F.col("d.weight") + F.when(F.array_contains("d.strong", t), idf * EMPHASIS).otherwise(0.0)).otherwise(0.0)
         part = part + idf * SECTION * near + F.when(there & F.array_contains("title_tokens", t), idf * TITLE).otherwise(0.0)

@@ -1,113 +1,56 @@
 """Pagination, repeated groups of links, and what of a source is still open, from the links of each page.
 
-All of it works on the link array of a page's own row: no shuffle, and a page
-with very many links costs only itself."""
+A page's links are one array in its row: no shuffle, and a page with very many
+links costs only itself."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from pageloom.functions import native as N
-from pageloom.functions import patterns as P
-
+from collections.abc import Iterator
 
-def semantic(k: Column) -> Column:
-    """last, next, prev or first, by rel and then by words; null otherwise."""
-    rel = F.transform(k.rel, lambda r: F.lower(r))
-    text = N.fold(k.text)
-    tight = F.replace(text, F.lit(" "))
-    said = lambda words: text.isin(words) | tight.isin(words)
-    return (
-        F.when(F.array_contains(rel, "last"), "last").when(F.array_contains(rel, "next"), "next").when(F.arrays_overlap(rel, F.array(F.lit("prev"), F.lit("previous"))), "prev").when(F.array_contains(rel, "first"), "first")
-        .when(said(P.LAST_WORDS), "last").when(said(P.FIRST_WORDS), "first").when(said(P.NEXT_WORDS), "next").when(said(P.PREV_WORDS), "prev")
-    )
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+_PAGINATION = (
+    "struct<detected:boolean,kind:string,current_page:bigint,current_offset:bigint,last_page:bigint,last_offset:bigint,highest_visible_page:bigint,highest_visible_offset:bigint,next_url:string,prev_url:string,first_url:string,"
+    "last_url:string,last_evidence:string,bounded:boolean,has_next:boolean,remaining_pages:bigint,template:string,visible_page_numbers:array<bigint>>"
+)
+_FRONTIER = f"page_id long, url string, pagination {_PAGINATION}, groups array<struct<scope:string,kind:string,count:int,items:array<struct<url:string,text:string>>>>"
 
-def _with_links(graph: DataFrame) -> DataFrame:
-    """The internal links of each page with cleaned address, marker, meaning and scope."""
-    inner = F.transform(F.filter("links", lambda k: k.internal), lambda k: F.struct(
-        k.pos.alias("pos"), N.clean_url(k.href).alias("href"), N.normalize(k.text).alias("text"), N.marker(N.clean_url(k.href)).alias("mark"), semantic(k).alias("means"), F.array_contains(k.rel, "last").alias("rel_last"),
-    ))
-    path = N.url_part(F.col("url"), "path")
-    g = graph.select("page_id", "url", "canonical", inner.alias("ks"))
-    paged = lambda k: k.mark.isNotNull() & (k.text.rlike(r"^\d+$") | k.means.isNotNull() | (N.url_part(k.href, "path") == path))
-    return g.withColumn("paged", F.filter("ks", paged))
 
+def frontier(graph: DataFrame) -> DataFrame:
+    """(page_id, url, pagination, groups): all groups with all their addresses.  A page without links has an empty pagination."""
+    from pageloom.operators.pagegraph import arrow_schema
 
-def pagination(graph: DataFrame) -> DataFrame:
-    """(page_id, url, pagination, page_urls): the pagination of each page and the addresses that belong to it."""
-    g = _with_links(graph)
-    first = lambda what: F.get(F.filter("ks", lambda k: k.means == what), F.lit(0))
-    by_kind = lambda kind: F.filter("paged", lambda k: k.mark.kind == kind)
-    g = g.withColumns({"nx": first("next"), "la": first("last"), "fi": first("first"), "pr": first("prev"), "pages": by_kind("page"), "offs": by_kind("offset"), "here": N.marker(F.col("url"))})
-    number = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda k: k.mark.value)))
-    g = g.withColumns({"numbers": number("pages"), "offsets": number("offs")})
-    at = lambda arr, n: F.get(F.filter(arr, lambda k: k.mark.value == n), F.lit(0)).href
-    here, la = F.col("here"), F.col("la")
-    top, second = F.element_at("numbers", F.lit(-1)), F.get("numbers", F.size("numbers") - 2)
-    last_mark = N.marker(la.href)
-    said_page, last_offset = F.when(last_mark.kind == "page", last_mark.value), F.when(last_mark.kind == "offset", last_mark.value)
-    gap = said_page.isNull() & (F.size("numbers") >= 3) & (top > second + 1) & (F.get("numbers", F.lit(0)) <= 2)
-    g = g.withColumns({"said_page": said_page, "last_offset": last_offset, "gap": F.coalesce(gap, F.lit(False)), "top": F.when(F.size("numbers") > 0, top)})
-    g = g.withColumns({
-        "current_page": F.coalesce(F.when(here.kind == "page", here.value), F.when((F.size("numbers") > 0) | F.col("nx").isNotNull() | la.isNotNull(), F.lit(1).cast("long"))), "current_offset": F.when(here.kind == "offset", here.value),
-        "last_page": F.when(F.col("gap"), F.col("top")).otherwise(F.col("said_page")), "last_url": F.when(F.col("gap"), at("pages", F.col("top"))).otherwise(la.href),
-        "evidence": F.when(F.col("gap"), "terminal-page-gap").when(la.isNotNull(), F.when(la.rel_last, "rel=last").otherwise("last-control")),
-    })
-    cur, last = F.col("current_page"), F.col("last_page")
-    g = g.withColumn("next_url", F.coalesce(F.col("nx.href"), F.when(cur < last, at("pages", cur + 1))))
-    has_next = F.when(cur.isNotNull() & last.isNotNull(), cur < last).when(F.col("current_offset").isNotNull() & F.col("last_offset").isNotNull(), F.col("current_offset") < F.col("last_offset")).otherwise(F.col("next_url").isNotNull())
-    top_offset = F.when(F.size("offsets") > 0, F.element_at("offsets", F.lit(-1)))
-    exemplar = F.coalesce("last_url", "next_url", at("pages", F.col("top")), at("offs", top_offset))
-    g = g.withColumns({"exemplar": exemplar, "has_next": has_next}).withColumn("ex_mark", N.marker(F.col("exemplar")))
-    urls = F.array_distinct(F.concat(F.transform(F.filter("ks", lambda k: k.means.isNotNull()), lambda k: k.href), F.transform("paged", lambda k: k.href)))
-    kind = F.when((F.size("numbers") > 0) | (F.col("ex_mark.kind") == "page"), "page").when((F.size("offsets") > 0) | (F.col("ex_mark.kind") == "offset"), "offset")
-    return g.select("page_id", "url", "canonical", "ks", urls.alias("page_urls"), F.struct(
-        (F.size(urls) > 0).alias("detected"), kind.alias("kind"), "current_page", "current_offset", "last_page", "last_offset", F.col("top").alias("highest_visible_page"), top_offset.alias("highest_visible_offset"),
-        "next_url", F.col("pr.href").alias("prev_url"), F.col("fi.href").alias("first_url"), "last_url", F.col("evidence").alias("last_evidence"),
-        (F.col("last_url").isNotNull() | last.isNotNull() | F.col("last_offset").isNotNull()).alias("bounded"), "has_next", F.greatest(F.lit(0).cast("long"), last - cur).alias("remaining_pages"),
-        F.when(F.col("exemplar").isNotNull(), N.template(F.col("exemplar"), F.col("ex_mark"))).alias("template"), F.slice("numbers", 1, 50).alias("visible_page_numbers"),
-    ).alias("pagination"))
+    schema = arrow_schema(_FRONTIER)
+    flat = graph.select("page_id", "url", "canonical", F.transform("links", lambda k: F.struct(k.href, k.text, k.internal, k.rel)).alias("ks"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pageloom.functions.paging import paging
 
-def child_groups(paged: DataFrame) -> DataFrame:
-    """Adds `groups`: links of one scope of which a page has two or more, largest first, each with all its addresses.
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                p, g = paging(r["url"] or "", r["canonical"], [tuple(k.values()) for k in r["ks"] or []])
+                rows.append({"page_id": r["page_id"], "url": r["url"], "pagination": p, "groups": g})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    `paged` is what pagination() gives."""
-    here = N.clean_url(F.col("url"))
-    other = F.filter("ks", lambda k: (k.href != here) & ~F.array_contains("page_urls", k.href) & (F.col("canonical").isNull() | (k.href != N.clean_url(F.col("canonical")))) & N.same_host(k.href, here) & (N.scope_of(k.href) != N.scope_of(here)))
-    g = paged.withColumn("kids", F.transform(other, lambda k: F.struct(N.scope_of(k.href).alias("scope"), k.href.alias("url"), k.text.alias("text")))).withColumn("kid_urls", F.transform("kids", lambda k: k.url))
-    g = g.withColumn("kids", F.filter("kids", lambda k, i: F.array_position("kid_urls", k.url) == i + 1))
-    scopes = F.array_distinct(F.transform("kids", lambda k: k.scope))
+    return flat.mapInArrow(run, _FRONTIER)
 
-    def group(s: Column) -> Column:
-        own = F.filter("kids", lambda k: k.scope == s)
-        one_path = F.size(F.array_distinct(F.transform(own, lambda k: N.url_part(k.url, "path")))) == 1
-        return F.struct(
-            (-F.size(own)).alias("order"), s.alias("scope"), F.when(F.contains(s, F.lit("*")) | one_path, "detail_candidates").otherwise("child_candidates").alias("kind"), F.size(own).alias("count"),
-            F.transform(own, lambda k: F.struct(k.url.alias("url"), k.text.alias("text"))).alias("items"),
-        )
 
-    groups = F.array_sort(F.filter(F.transform(scopes, group), lambda x: x["count"] >= 2))
-    return g.withColumn("groups", groups).drop("kids", "kid_urls")
+def pagination(graph: DataFrame) -> DataFrame:
+    return frontier(graph).select("page_id", "url", "pagination")
 
 
 def traversal(graph: DataFrame, max_groups: int = 8, samples: int = 5) -> DataFrame:
     """Coverage of each page: never complete, for one page cannot prove it."""
-    g = child_groups(pagination(graph))
-    shown = F.slice("groups", 1, max_groups)
-    p = F.col("pagination")
+    shown, p = F.slice("groups", 1, max_groups), F.col("pagination")
     signals = F.array_compact(F.array(
         F.when(p.has_next, "PAGINATION_OPEN").when(p.detected & ~p.bounded, "PAGINATION_UNBOUNDED"), F.when(F.size("groups") > 0, "CHILD_LEVEL_CANDIDATES"),
     ))
     known = F.aggregate(shown, F.lit(0).cast("long"), lambda a, x: a + x["count"]) + F.when(p.remaining_pages.isNotNull(), p.remaining_pages).when(p.has_next, 1).otherwise(0)
-    return g.select(
+    return frontier(graph).select(
         "page_id", "url", F.when(F.size(signals) > 0, "INCOMPLETE").otherwise("UNKNOWN").alias("coverage_status"), F.lit(False).alias("claim_complete"), signals.alias("signals"), known.alias("known_open_urls"), "pagination",
-        F.transform(shown, lambda x: F.struct(x.scope.alias("scope"), x.kind.alias("kind"), x["count"].alias("count"), F.slice(x.items, 1, samples).alias("sample"))).alias("child_collections"),
+        F.transform(shown, lambda x: F.struct(x.scope.alias("scope"), x.kind.alias("kind"), x["count"].alias("count"), F.slice(x.getField("items"), 1, samples).alias("sample"))).alias("child_collections"),
     )
-
-
-def frontier(graph: DataFrame) -> DataFrame:
-    """Pagination and all groups with all their addresses, for expansion."""
-    return child_groups(pagination(graph)).select("page_id", "url", "pagination", "groups")
