@@ -48,6 +48,9 @@ def lookup(flat: list[tuple[str, str, Any]], rule: str) -> str | None:
 
 def labelled(page: Page, labels: list[str], kind: str) -> list[tuple[str, str, int]]:
     """(raw, label, block): values beside exact labels, then in nearby wrappers, then after a label in the same block."""
+    question = (tuple(labels), kind)
+    if question in page.memo:
+        return page.memo[question]
     found = [S.alias_pattern(a) for a in labels if a.strip()]
     beside, nearby, inside = [], [], []
     blocks = page.blocks
@@ -84,7 +87,8 @@ def labelled(page: Page, labels: list[str], kind: str) -> list[tuple[str, str, i
             if value and j != used:
                 near.append((-shared, j, value))
         nearby += [(value, name, j) for _, j, value in sorted(near)]
-    return beside + nearby + inside
+    page.memo[question] = beside + nearby + inside
+    return page.memo[question]
 
 
 def first_valid(options, spec: dict, typed: bool):

@@ -63,7 +63,7 @@ class Block:
 class Page:
     """What one page holds.  `style` of a block is the chain of open containers as (tag, class) pairs."""
 
-    __slots__ = ("app_root", "blocks", "canonical", "feeds", "host", "images", "images_missing_alt", "itemprops", "lang", "links", "meta", "script_count", "scripts", "title", "url")
+    __slots__ = ("app_root", "blocks", "canonical", "feeds", "host", "images", "images_missing_alt", "itemprops", "lang", "links", "memo", "meta", "script_count", "scripts", "title", "url")
 
     def __init__(self, url: str):
         self.url, self.host = url, host_of(url)
@@ -76,6 +76,8 @@ class Page:
         self.itemprops: list[tuple[str, str]] = []
         self.images = self.images_missing_alt = self.script_count = 0
         self.app_root = False
+        #: What was found on this page before, by question.
+        self.memo: dict = {}
 
     @property
     def text_chars(self) -> int:

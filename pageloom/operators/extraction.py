@@ -25,7 +25,7 @@ from pageloom.functions.markup import Page, parse
 from pageloom.functions.patterns import NUMERIC, SHELL_SCORE
 from pageloom.functions.portfolio import Portfolio, teach, visit
 from pageloom.operators.pagegraph import arrow_schema
-from pageloom.session import col_or_null, cut
+from pageloom.session import col_or_null, cut, spread
 
 RESULT = (
     "page_id long, url string, scope string, seq long, field string, type string, status string, stage string, page_stage string, value string, number double, "
@@ -106,7 +106,9 @@ def _replay(prepared: DataFrame, specs: list[dict], start: dict[str, str], rende
         rows += [{"scope": scope, "field": f, "state": json.dumps(b.dump())} for f, b in books.items()]
         return pa.Table.from_pylist(rows, schema)
 
-    return prepared.groupBy("scope").applyInArrow(lambda key, t: one(key, t), ddl)
+    # A set number of partitions: few bytes are much work here, so they must not be merged.
+    width = max(2 * prepared.sparkSession.sparkContext.defaultParallelism, int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return prepared.repartition(width, "scope").groupBy("scope").applyInArrow(lambda key, t: one(key, t), ddl)
 
 
 def replay(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +123,7 @@ def apply_rules(prepared: DataFrame, specs: list[dict], states: DataFrame, rende
     whole = states.groupBy("scope").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", "state")))).alias("states"))
     size = states.agg(F.coalesce(F.sum(F.length("state") + F.length("scope")), F.lit(0))).first()[0]
     known = spark.sparkContext.broadcast({r["scope"]: r["states"] for r in whole.collect()}) if size <= SENT_WHOLE else None
-    rows = prepared if known is not None else prepared.join(whole, "scope", "left").select(*prepared.columns, "states")
+    rows = spread(prepared) if known is not None else prepared.join(whole, "scope", "left").select(*prepared.columns, "states")
 
     schema = arrow_schema(RESULT)
 

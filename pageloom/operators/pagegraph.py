@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import candidates as C
 from pageloom.functions import scalars as S
 from pageloom.functions.markup import HEADING_WEIGHT, REGION_FACTOR, parse
-from pageloom.session import col_or_null
+from pageloom.session import col_or_null, spread
 
 BLOCK = "struct<block_id:int,kind:string,text:string,section:array<string>,region:string,weight:double,emphasis:array<string>,table_row:int,heading_level:int,ancestry:array<int>>"
 LINK = "struct<pos:int,href:string,text:string,internal:boolean,nofollow:boolean,block_id:int,rel:array<string>>"
@@ -71,7 +71,7 @@ def page_graph(pages: DataFrame) -> DataFrame:
                 rows = [graph_row(*r) for r in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return flat.mapInArrow(run, GRAPH)
+    return spread(flat).mapInArrow(run, GRAPH)
 
 
 def blocks(graph: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,26 @@ def cache_hits(requests: DataFrame, key: list[str], at: str, order: list[str], t
     walked alone.  A hot key is as many pieces as it has such gaps."""
     w = Window.partitionBy(*key).orderBy(at, *order)
     gap = (F.col(at) - F.lag(at).over(w)) >= ttl
-    pieces = requests.select(*key, at, *order, *carry).withColumn("_gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_piece", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.drop("_gap", "_piece").schema) + ", hit boolean"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, *order])
-        fetched, hits = None, []
-        for t in pdf[at]:
-            hits.append(fetched is not None and t - fetched < ttl)
-            if not hits[-1]:
-                fetched = t
-        return pdf.drop(columns=["_gap", "_piece"]).assign(hit=hits)
-
-    return pieces.groupBy(*key, "_piece").applyInPandas(walk, schema)
+    pieces = requests.select(*key, at, *order, *carry).withColumn("_gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_piece", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    kept = pieces.drop("_piece").columns
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.drop("_piece").schema) + ", hit boolean"
+    width = max(requests.sparkSession.sparkContext.defaultParallelism, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = pieces.repartition(width, *key, "_piece").sortWithinPartitions(*key, "_piece", at, *order)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted; all that is held is the entry of the piece at hand.
+        now, fetched = None, None
+        for b in batches:
+            hits = []
+            for *k, t in zip(*(b.column(c).to_pylist() for c in [*key, "_piece", at]), strict=True):
+                if k != now:
+                    now, fetched = k, None
+                hits.append(fetched is not None and t - fetched < ttl)
+                if not hits[-1]:
+                    fetched = t
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(hits, pa.bool_())], [*kept, "hit"])
+
+    return ordered.mapInArrow(walk, ddl)
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:

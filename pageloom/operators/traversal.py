@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.session import spread
+
 _PAGINATION = (
     "struct<detected:boolean,kind:string,current_page:bigint,current_offset:bigint,last_page:bigint,last_offset:bigint,highest_visible_page:bigint,highest_visible_offset:bigint,next_url:string,prev_url:string,first_url:string,"
     "last_url:string,last_evidence:string,bounded:boolean,has_next:boolean,remaining_pages:bigint,template:string,visible_page_numbers:array<bigint>>"
@@ -36,7 +38,7 @@ def frontier(graph: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return flat.mapInArrow(run, _FRONTIER)
+    return spread(flat).mapInArrow(run, _FRONTIER)
 
 
 def pagination(graph: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import native as N
 from pageloom.operators import pagegraph, policy, relevance, summary, traversal
 from pageloom.plans import sql as Q
-from pageloom.session import cut, table
+from pageloom.session import cut, spread, table
 
 
 def _graph(spark, sf):
@@ -63,7 +63,7 @@ def r_located(spark, sf):
 
 
 def d_challenge(spark, sf):
-    f = table(spark, sf, "fetch_results")
+    f = spread(table(spark, sf, "fetch_results").select("page_id", "status", "html"))
     e = policy.http_error(F.col("status"))
     return f.select("page_id", policy.challenge(F.col("status"), F.col("html")).alias("challenge"), e.code.alias("error"), e.recoverable.alias("recoverable"), policy.visible_chars(F.col("html")).alias("visible"))
 

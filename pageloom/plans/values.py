@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import native as N
 from pageloom.plans import sql as Q
-from pageloom.session import table
+from pageloom.session import spread, table
 
 
 def q_tokens(spark, sf):
@@ -20,7 +20,7 @@ def q_token_counts(spark, sf):
 
 
 def q_typed(spark, sf):
-    b = table(spark, sf, "blocks")
+    b = spread(table(spark, sf, "blocks").select("page_id", "block_id", "text"))
     return b.select("page_id", "block_id", *[N.find_typed(F.col("text"), k).alias(k) for k in ("price", "area", "date", "email", "phone", "url", "integer", "number")]).where("coalesce(price, area, date, email, phone, url) is not null")
 
 

@@ -52,6 +52,14 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, where a small input would keep most of them idle.
+
+    Large inputs have more partitions than that and are left where they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def col_or_null(df: DataFrame, name: str, kind: str):
     """Column `name` of df, or a null of `kind` where df has no such column."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
