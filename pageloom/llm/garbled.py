@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.lookalike import LOOKALIKE
+from pageloom.session import spread
 
 #: (name, codec written in, codecs read with, in order).  Two readings: text that went through the same mistake twice.
 PAIRS = [
@@ -320,4 +321,4 @@ def examine_pages(pages: DataFrame, with_html: bool = True) -> DataFrame:
                     cols.append(pa.array(html, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["page_id", "states", "lost", "restored"][: len(cols)])
 
-    return flat.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, states array<string>, lost int" + ", restored string" * with_html)
+    return spread(flat.select(F.col("page_id").cast("long").alias("page_id"), "html")).mapInArrow(run, "page_id long, states array<string>, lost int" + ", restored string" * with_html)

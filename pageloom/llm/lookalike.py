@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.session import spread
+
 # Letters of other scripts and the Latin letters they look like, in the order of their code points.
 LOOKALIKE = {
     "ı": "i", "ɡ": "g", "ɩ": "i", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
@@ -69,7 +71,7 @@ def canonical_text(df: DataFrame, text_col: str, keep: list[str], out: str = "ca
     A null text stays null, an empty one empty; a text of nothing but blanks
     and invisible characters becomes empty.  Texts of any length are done whole."""
     flat = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("canon"))
-    done = flat.mapInArrow(_normalise, flat.schema)
+    done = spread(flat).mapInArrow(_normalise, flat.schema)
     return done.withColumnRenamed("canon", out) if out != "canon" else done
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.session import spread
+
 #: Documented bound of the fitting sample: graded documents read by the driver.
 MAX_GRADED = 4000
 VOCABULARY = 1 << 15
@@ -192,7 +194,7 @@ def score_documents(documents: DataFrame, ranker: Ranker) -> DataFrame:
             whole = [None if x is None else int(min(5, max(1, np.floor(x + 0.5)))) for x in levels]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(levels, pa.float64()), pa.array(whole, pa.int32())], ["doc_id", "score", "level", "reading_level"])
 
-    return flat.mapInArrow(run, "doc_id long, score double, level double, reading_level int")
+    return spread(flat).mapInArrow(run, "doc_id long, score double, level double, reading_level int")
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED) -> DataFrame:

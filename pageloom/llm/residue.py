@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import styletree
 from pageloom.llm.lookalike import LIGATURES, LOOKALIKE
-from pageloom.session import cut
+from pageloom.session import cut, spread
 
 REAL, MESSAGE, FILLER, PLACEHOLDER = 0, 1, 2, 3
 
@@ -225,7 +225,7 @@ def page_units(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     flat = pages.where("html is not null and page_id is not null").select(F.col("page_id").cast("long"), F.coalesce(F.col("host"), F.lit("")).alias("host"), "html")
-    return flat.mapInArrow(run, _UNITS)
+    return spread(flat).mapInArrow(run, _UNITS)
 
 
 def _tables(df: DataFrame, *keep: str) -> DataFrame:
@@ -234,7 +234,7 @@ def _tables(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(parts).alias("p")).select(*keep, "p.part", "p.bits")
 
 
-def spread(units: DataFrame, similarity: float = 0.8, hamming: int = 12, rounds: int = 20) -> DataFrame:
+def propagate(units: DataFrame, similarity: float = 0.8, hamming: int = 12, rounds: int = 20) -> DataFrame:
     """(unit, label) for all units in the component of a trusted one.
 
     units(unit, label, sim, prints): one row a distinct text.  The candidates
@@ -282,7 +282,7 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     verdicts = styletree.node_verdicts(nodes).select("host", "node", "why")
     exploded = nodes.select(F.explode(F.arrays_zip("units", "labels", "sims", "prints")).alias("u")).select("u.units", "u.labels", "u.sims", "u.prints")
     distinct = exploded.where("prints is not null").groupBy(F.col("units").alias("unit")).agg(F.max("labels").alias("label"), F.first("sims").alias("sim"), F.first("prints").alias("prints"))
-    labelled = spread(cut(distinct))
+    labelled = propagate(cut(distinct))
     body = nodes.join(verdicts, ["host", "node"], "left").select("page_id", "why", F.explode(F.arrays_zip("units", "labels", "heads")).alias("u")).select(
         "page_id", "why", F.col("u.units").alias("unit"), F.col("u.labels").alias("own"), F.col("u.heads").alias("head")
     ).where("why is null or why = 'template'")

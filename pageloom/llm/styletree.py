@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.session import cut
+from pageloom.session import cut, spread
 
 _CELLS = frozenset(("dt", "dd", "th", "td"))
 _NODES = pa.schema([
@@ -79,7 +79,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODES, strict=True)], schema=_NODES)
 
     flat = pages.where("html is not null and html <> '' and page_id is not null").select(F.col("page_id").cast("long"), F.coalesce(F.col("host"), F.lit("")).alias("host"), "html")
-    return flat.mapInArrow(run, _NODES_DDL)
+    return spread(flat).mapInArrow(run, _NODES_DDL)
 
 
 def _importance(counted: DataFrame, out: str) -> DataFrame:

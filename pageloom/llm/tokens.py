@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.session import spread
+
 RANK_DIR = "/opt/tokenizers"
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: The pre-split pattern that belongs to the public vocabulary (a fixed value).
@@ -83,7 +85,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     kind = flat.schema[id_col].dataType.simpleString()
-    return flat.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(flat).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", out: str = "tokens", rank_dir: str | None = None, name: str = RANK_FILE) -> DataFrame:
@@ -98,7 +100,7 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", out: st
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), n], [*keep, out])
 
     kinds = ", ".join(f"`{c}` {flat.schema[c].dataType.simpleString()}" for c in keep)
-    return flat.mapInArrow(run, f"{kinds}, `{out}` bigint")
+    return spread(flat).mapInArrow(run, f"{kinds}, `{out}` bigint")
 
 
 def verify_round_trip(docs: DataFrame, encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_dir: str | None = None, name: str = RANK_FILE) -> DataFrame:
