@@ -36,6 +36,8 @@ _VOID = frozenset(VOID_TAGS)
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
 )
+#: A tag that the end of the page cuts off; it is no text.
+UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style")}
@@ -167,7 +169,7 @@ def parse(html: str | None, url: str = "", links: bool = True) -> Page:
         m = token(html, pos)
         end = m.start() if m else len(html)
         if end > at and not hidden:
-            text_in(html[at:end])
+            text_in(html[at:end] if m else UNFINISHED.sub("", html[at:end]))
         if m is None:
             break
         at = pos = m.end()

@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
-from pageloom.functions.markup import CONTAINER_TAGS, HEADINGS, HIDDEN_TAGS, TEXT_TAGS
+from pageloom.functions.markup import CONTAINER_TAGS, HEADINGS, HIDDEN_TAGS, TEXT_TAGS, UNFINISHED
 
 _HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN_TAGS)}|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)>([^<]*+(?:<(?![a-zA-Z/!?])[^<]*+)*+)""")
+_DECLARED = re.compile(r"<[!?][^>]*>")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _OPEN = {**dict.fromkeys(TEXT_TAGS, 1), **dict.fromkeys(HEADINGS, 1), **dict.fromkeys(CONTAINER_TAGS, 2), "a": 3, "br": 4}
 #: Containers that only arrange items; without a class they belong to the container around them.
@@ -48,8 +49,11 @@ class Outliner:
         ids, opens = self._ids, _OPEN.get
         stack: list[tuple[str, int]] = []
         chain, kind, linked, anchor = 0, "text", 0, False
-        first = html.find("<")
-        buf = [html[:first]] if first > 0 else []
+        opening = _TAG.search(html)
+        head = html[: opening.start()] if opening else html
+        if "<" in head:
+            head = UNFINISHED.sub("", _DECLARED.sub("", head))
+        buf = [head] if head else []
         for slash, name, raw, text in _TAG.findall(html):
             what = opens(name) or opens(name.lower(), 0)
             if what == 1 or what == 2:

@@ -64,7 +64,7 @@ def advisories(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     low = both.where((F.col("attempted") >= LEAST) & (usable <= LOW_YIELD)).select(*keys, F.lit("LOW_BATCH_YIELD").alias("code"), F.round(usable, 4).alias("value"))
     high = both.where((F.col("observed") >= LEAST) & (share >= HIGH_AGENT)).select(*keys, F.lit("HIGH_AGENT_ESCALATION").alias("code"), F.round(share, 4).alias("value"))
     fields = rows.where(F.coalesce("ok", F.lit(False))).select(*keys, F.explode("fields").alias("f")).groupBy(*keys, F.coalesce("f.name", F.lit("UNKNOWN")).alias("name")).agg(F.count("*").alias("n"), F.count_if(F.col("f.status") == "FOUND").alias("found"))
-    gaps = fields.where((F.col("n") >= LEAST) & (F.col("found") == 0)).groupBy(*keys).agg(F.count("*").alias("gaps")).select(*keys, F.lit("SYSTEMATIC_FIELD_GAPS").alias("code"), F.col("gaps").cast("double").alias("value"))
+    gaps = fields.where((F.col("n") >= LEAST) & (F.col("found") == 0)).groupBy(*keys).agg(F.count("*").alias("gaps")).where("gaps > 0").select(*keys, F.lit("SYSTEMATIC_FIELD_GAPS").alias("code"), F.col("gaps").cast("double").alias("value"))
     empty = c.where("attempted = 0").select(*keys, F.lit("EMPTY_INPUT_SET").alias("code"), F.lit(0.0).alias("value"))
     return low.unionByName(high).unionByName(gaps).unionByName(empty)
 
