@@ -154,7 +154,8 @@ def fit(graded: list[tuple[tuple, float]], rounds: int = 150, penalty: float = 1
     if len(feats) < 2:
         k = len(SYNTAX)
         return Ranker(np.zeros(k), np.ones(k), np.zeros(k), np.zeros(VOCABULARY), np.array([0.0]), np.array([grades.mean() if len(grades) else 3.0]))
-    held = np.arange(len(feats)) % 4 == 3 if len(feats) >= 80 else np.ones(len(feats), bool)
+    # By a seeded permutation, for ids may go with levels.
+    held = np.random.default_rng(seed).permutation(len(feats)) % 4 == 3 if len(feats) >= 80 else np.ones(len(feats), bool)
     used = np.flatnonzero(~held) if len(feats) >= 80 else np.arange(len(feats))
     r = Ranker(*_rank([feats[i] for i in used], grades[used], rounds, penalty, seed), np.array([]), np.array([]))
     scores = np.array([r.score(feats[i]) for i in np.flatnonzero(held)])

@@ -150,27 +150,48 @@ class Prints:
         self.places = [np.uint64(p) for p in self.PLACES]
 
     def of(self, plain: str) -> tuple[int, int, list[int]]:
-        """(unit, SimHash, prints of 15 bits) of a bare text; the unit is a hash of the whole masked text."""
-        np = self.np
-        masked = _DIGITS.sub("0", plain)
-        unit = self.digest(masked) & ((1 << 63) - 1)
-        w = masked.split(" ")
-        if len(w) <= 5:
-            return unit, unit, [unit & 0x7FFF] if masked else []
-        known = self.words
+        return self.of_many([plain])[0]
+
+    def of_many(self, plains: list[str]) -> list[tuple[int, int, list[int]]]:
+        """(unit, SimHash, prints of 15 bits) of bare texts; the unit is a hash of the whole masked text."""
+        np, known, digest = self.np, self.words, self.digest
         if len(known) > 500_000:
             known.clear()
-        for x in w:
-            if x not in known:
-                known[x] = self.digest(x)
-        a = np.array([known[x] for x in w], np.uint64)
-        n = len(w) - 4
+        out: list = []
+        flat: list[int] = []
+        long: list[tuple[int, int, int]] = []  # which text, where its words begin, how many shingles
+        for k, plain in enumerate(plains):
+            masked = _DIGITS.sub("0", plain)
+            unit = digest(masked) & ((1 << 63) - 1)
+            w = masked.split(" ")
+            out.append((unit, unit, [unit & 0x7FFF] if masked else []))
+            if len(w) > 5:
+                long.append((k, len(flat), len(w) - 4))
+                for x in w:
+                    h = known.get(x)
+                    if h is None:
+                        h = known[x] = digest(x)
+                    flat.append(h)
+        if not long:
+            return out
+        a = np.array(flat, np.uint64)
+        n = len(a) - 4
         h = a[:n] * self.places[0]
         for i in range(1, 5):
             h ^= a[i : i + n] * self.places[i]
         h = (h ^ (h >> np.uint64(31))) * self.places[0]
-        ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1).sum(0)
-        return unit, int(np.packbits(ones * 2 > n).view(np.int64)[0]), (h >> np.uint64(49)).astype(np.int16).tolist()
+        short = (h >> np.uint64(49)).astype(np.int16).tolist()
+        # Windows over the end of a text are computed with the rest and left out here, some texts at a time.
+        for i in range(0, len(long), 2000):
+            part = long[i : i + 2000]
+            counts = np.array([c for _, _, c in part])
+            at = np.concatenate([np.arange(s, s + c) for _, s, c in part])
+            bits = np.unpackbits(h[at].view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, np.concatenate([[0], counts.cumsum()[:-1]]), axis=0, dtype=np.int32)
+            sims = np.packbits(ones * 2 > counts[:, None], axis=1).view(np.int64).ravel().tolist()
+            for (k, s, c), sim in zip(part, sims, strict=True):
+                out[k] = out[k][0], sim, short[s : s + c]
+        return out
 
 
 _SHELL = re.compile(r"""(?:<(?:main|div|section|article)\b[^>]*>\s*|<div id=["']?(?:root|app|__next|__nuxt)["']?[^>]*>\s*</div>\s*)<noscript""", re.I)
@@ -199,28 +220,26 @@ def page_units(pages: DataFrame) -> DataFrame:
         outline, digest, mask, prints = Outliner(), xxhash.xxh3_64_intdigest, (1 << 63) - 1, Prints()
         known: dict[tuple[bool, str], tuple[int, int, int]] = {}
 
-        def unit(kind: str, text: str) -> tuple[int, int, int, list[int] | None]:
-            key = (kind == "pre", text)
-            if key in known:
-                return *known[key], None
-            label, plain = label_text(kind, text)
-            u, sim, hashes = prints.of(plain)
+        for b in batches:
             if len(known) > 100_000:
                 known.clear()
-            known[key] = u, label, sim
-            return u, label, sim, hashes
-
-        for b in batches:
+            pages = [(page_id, host, html, outline.blocks(html)) for page_id, host, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            new = list(dict.fromkeys(key for *_, blocks in pages for _, kind, text, _ in blocks if (key := (kind == "pre", text)) not in known))
+            labels = [label_text("pre" if pre else "p", text) for pre, text in new]
+            fresh = {}
+            for key, (label, _), (u, sim, hashes) in zip(new, labels, prints.of_many([plain for _, plain in labels]), strict=True):
+                known[key] = u, label, sim
+                fresh[key] = hashes
             rows = []
-            for page_id, host, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                blocks = outline.blocks(html)
+            for page_id, host, html, blocks in pages:
                 shell = "<noscript" in html and _SHELL.search(html) is not None
                 if not blocks:
                     rows.append((host, page_id, None, "", [], 0, 0, 0, 0, 0, 0, 0, [], [], [], [], [], shell))
-                for names_of, n in styletree.nodes_of(outline, blocks, digest, mask):
-                    us = [unit(blocks[i][1], blocks[i][2]) for i in n[0]]
+                for names_of, n in styletree.nodes_of(outline, blocks, digest, mask, False):
+                    keys = [(blocks[i][1] == "pre", blocks[i][2]) for i in n[0]]
+                    us = [known[k] for k in keys]
                     heads = [blocks[i][1] in _TITLES for i in n[0]]
-                    rows.append((host, page_id, names_of[-1] if names_of else "", "\x1f".join(names_of), n[0], *n[2:], len(blocks), [u[0] for u in us], [u[1] for u in us], heads, [u[2] for u in us], [u[3] for u in us], shell))
+                    rows.append((host, page_id, names_of[-1] if names_of else "", "\x1f".join(names_of), n[0], *n[2:], len(blocks), [u[0] for u in us], [u[1] for u in us], heads, [u[2] for u in us], [fresh.pop(k, None) for k in keys], shell))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

@@ -44,7 +44,7 @@ _NODES_DDL = "host string, page_id long, page_blocks int, chain string, node str
 _WORD = re.compile(r"[^\W\d_]{4}").search
 
 
-def nodes_of(outline, blocks: list, digest, mask: int) -> list[tuple[tuple[str, ...], list]]:
+def nodes_of(outline, blocks: list, digest, mask: int, texts: bool = True) -> list[tuple[tuple[str, ...], list]]:
     """(chain, [block ids, text digests, digest of the opening, characters, of these in texts with words, in anchors, titles, cells]) by node."""
     nodes: dict[int, list] = {}
     for i, (chain, kind, text, linked) in enumerate(blocks):
@@ -52,7 +52,8 @@ def nodes_of(outline, blocks: list, digest, mask: int) -> list[tuple[tuple[str,
         if n is None:
             n = nodes[chain] = [[], [], digest(" ".join(text.split(" ", 2)[:2])) & mask, 0, 0, 0, 0, 0]
         n[0].append(i)
-        n[1].append(digest(text) & mask)
+        if texts:
+            n[1].append(digest(text) & mask)
         n[3] += len(text)
         n[4] += len(text) if _WORD(text) else 0
         n[5] += linked
