@@ -220,7 +220,8 @@ def page_units(pages: DataFrame) -> DataFrame:
         outline, digest, mask, prints = Outliner(), xxhash.xxh3_64_intdigest, (1 << 63) - 1, Prints()
         known: dict[tuple[bool, str], tuple[int, int, int]] = {}
 
-        for b in batches:
+        # Some pages at a time: what is held of a page is several times its html.
+        for b in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             if len(known) > 100_000:
                 known.clear()
             pages = [(page_id, host, html, outline.blocks(html)) for page_id, host, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]

@@ -71,7 +71,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         from pageloom.functions.outline import Outliner
 
         outline, digest, mask = Outliner(), xxhash.xxh3_64_intdigest, (1 << 63) - 1
-        for b in batches:
+        for b in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             rows = []
             for page_id, host, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 blocks = outline.blocks(html)
