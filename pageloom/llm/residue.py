@@ -5,9 +5,9 @@ by itself an error message, a check of the visitor, a demand for scripts, a
 program's error output or filler (patterns over a form of the text without
 case, look-alikes and any character beyond ASCII, so that garbled or
 disguised copies keep their label).  Near-duplicates of trusted units
-are found in partitioned SimHash tables, verified by Hamming distance and by
-the Jaccard similarity of their five-word shingles, and the labels spread over
-connected components of these links.  A page is a case by the labels of its
+are found by the prefixes of their sorted shingle prints, which every pair that
+is similar enough shares, and verified by the Jaccard similarity of their
+five-word shingles; the labels spread over connected components of these links.  A page is a case by the labels of its
 main body, which the site style tree gives.
 
 Components are grown from the trusted units only (a component without one can
@@ -248,30 +248,32 @@ def page_units(pages: DataFrame) -> DataFrame:
     return spread(flat).mapInArrow(run, _UNITS)
 
 
-def _tables(df: DataFrame, *keep: str) -> DataFrame:
-    """A row for each of the four 16-bit parts of the SimHash."""
-    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("sim", 16 * i).bitwiseAND(0xFFFF).alias("bits")) for i in range(4)])
-    return df.select(*keep, F.explode(parts).alias("p")).select(*keep, "p.part", "p.bits")
+def _prefixes(df: DataFrame, similarity: float, *keep: str) -> DataFrame:
+    """A row for each print of the prefix: the least prints of a set, one more than it can miss of a set as similar as that."""
+    n = F.size("prints")
+    return df.select(*keep, n.alias("n"), F.explode(F.slice("prints", F.lit(1), n - F.ceil(n * similarity - 1e-9).cast("int") + 1)).alias("print"))
 
 
-def propagate(units: DataFrame, similarity: float = 0.8, hamming: int = 12, rounds: int = 20) -> DataFrame:
+def propagate(units: DataFrame, similarity: float = 0.8, rounds: int = 20) -> DataFrame:
     """(unit, label) for all units in the component of a trusted one.
 
-    units(unit, label, sim, prints): one row a distinct text.  The candidates
-    share a 16-bit part of the SimHash, so every pair within 3 bits is met, and
-    most within `hamming`; they count from `similarity` of the shingles on.
+    units(unit, label, sim, prints): one row a distinct text.  Two sets of
+    prints with a Jaccard similarity of at least `similarity` share a print of
+    their prefixes, so the candidates are all such pairs and none is lost to
+    the SimHash; texts of one print only must have the same SimHash as well.
     A round joins the frontier with the units that have no label yet; it ends
     when a round adds none."""
-    done = units.where(f"label in ({MESSAGE}, {FILLER})").select("unit", "label", "sim", "prints")
-    open_units = units.where(f"label = {REAL} and size(prints) > 1")
-    tabled = _tables(open_units, "unit", "sim", "prints")
-    frontier, out = done.where("size(prints) > 1"), [done.select("unit", "label")]
+    units = cut(units.select("unit", "label", "sim", (F.size("prints") > 1).alias("many"), F.array_sort(F.array_distinct("prints")).alias("prints")))
+    done = units.where(f"label in ({MESSAGE}, {FILLER})")
+    open_units = units.where(f"label = {REAL} and many")
+    tabled = _prefixes(open_units, similarity, "unit")
+    frontier, out = done.where("many").select("unit", "label", "sim", "prints"), [done.select("unit", "label")]
     for _ in range(rounds):
-        f = _tables(frontier.withColumnRenamed("sim", "sim0").withColumnRenamed("prints", "prints0").withColumn("sim", F.col("sim0")), "label", "sim0", "prints0")
+        first = _prefixes(frontier, similarity, "unit").toDF("unit0", "n0", "print")
+        pairs = tabled.join(first, "print").where((F.least("n", "n0") + 1e-9) >= similarity * F.greatest("n", "n0")).select("unit", "unit0").distinct()
+        near = pairs.join(frontier.toDF("unit0", "label", "sim0", "prints0"), "unit0").join(open_units.select("unit", "sim", "prints"), "unit")
         both = F.size(F.array_intersect("prints", "prints0"))
-        near = tabled.join(f, ["part", "bits"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("sim0"))) <= hamming).where(
-            both >= similarity * (F.size(F.array_distinct("prints")) + F.size(F.array_distinct("prints0")) - both)
-        )
+        near = near.where(both >= similarity * (F.size("prints") + F.size("prints0") - both)).where("size(prints) > 1 or sim = sim0")
         new = near.groupBy("unit").agg(F.min("label").alias("label"), F.first("sim").alias("sim"), F.first("prints").alias("prints"))
         for old in out:
             new = new.join(old, "unit", "left_anti")
@@ -302,7 +304,7 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     verdicts = styletree.node_verdicts(nodes).select("host", "node", "why")
     exploded = nodes.select(F.explode(F.arrays_zip("units", "labels", "sims", "prints")).alias("u")).select("u.units", "u.labels", "u.sims", "u.prints")
     distinct = exploded.where("prints is not null").groupBy(F.col("units").alias("unit")).agg(F.max("labels").alias("label"), F.first("sims").alias("sim"), F.first("prints").alias("prints"))
-    labelled = propagate(cut(distinct))
+    labelled = propagate(distinct)
     body = nodes.join(verdicts, ["host", "node"], "left").select("page_id", "why", F.explode(F.arrays_zip("units", "labels", "heads")).alias("u")).select(
         "page_id", "why", F.col("u.units").alias("unit"), F.col("u.labels").alias("own"), F.col("u.heads").alias("head")
     ).where("why is null or why = 'template'")

@@ -57,6 +57,22 @@ def test_labels_spread_over_components(spark):
     assert got == {u[0] for u in units[:3]}
 
 
+def test_every_near_duplicate_is_linked(spark):
+    """Against brute force: sets of five-word shingles with a similarity from 0.75 to 1."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    p, rows, want = residue.Prints(), [], set()
+    for n, longer, reps in ((8, 1, 60), (16, 4, 60), (20, 5, 60), (20, 1, 40), (112, 28, 30), (24, 7, 30)):
+        for _ in range(reps):
+            base = [word() for _ in range(n + 4)]
+            (u0, s0, a), (u1, s1, b) = p.of_many([" ".join(base), " ".join([*base, *(word() for _ in range(longer))])])
+            rows += [(u0, 1, s0, a), (u1, 0, s1, b)]
+            want |= {u0} | ({u1} if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) else set())
+    df = spark.createDataFrame(rows, "unit long, label int, sim long, prints array<int>")
+    assert {r["unit"] for r in residue.propagate(df).collect()} == want
+    assert 450 < len(want) < len(rows)
+
+
 # 4 garbled text
 SOUND = "Größe 72 m² – Preis 614.000 € · „schön“ Fußweg über die Straße, déjà vu à côté, mañana señor, Квартира, Διαμέρισμα, żółw, naïve Œuvre 5 °C ½ ©"
 
