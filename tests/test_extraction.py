@@ -3,6 +3,7 @@ from pageloom.functions.portfolio import Portfolio
 from pageloom.functions.rules import apply_rule, compile_rule
 from pageloom.functions.scalars import field_spec
 from pageloom.operators import extraction, expansion
+from pageloom.plans import portfolio as plans
 
 PRICE = {"name": "price", "type": "price", "aliases": ["Kaufpreis"], "paths": ["offers.price"]}
 
@@ -68,6 +69,29 @@ def test_epochs_give_what_the_replay_gives(spark):
     assert key(a) == key(b)
 
 
+def stages_by_hand(spark, sf):
+    """e_stages by one loop over the pages in order."""
+    books, out = {}, {}
+    for r in sorted(plans._detail(spark, sf).collect(), key=lambda r: r["page_id"]):
+        scope = f"size{r['size']}"
+        f = extraction.page_fields(books.setdefault(scope, {}), [field_spec(plans.PRICE)], r["page_id"], r["url"], scope, r["page_id"], r["html"], None, "auto", True)[0]
+        out[r["page_id"]] = (f["stage"], round(f["number"], 2), f["status"])
+    return out
+
+
+def parts(spark, tmp_path, n, sizes):
+    rows = [(i, f"part {i}", "Brand#1", i % sizes, 900.0 + i * 1.01) for i in range(1, n + 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_stages_of_all_parts(spark, tmp_path):
+    sf = parts(spark, tmp_path, 20, 4)
+    got = {r["page_id"]: (r["stage"], r["price"], r["status"]) for r in plans.e_stages(spark, sf).collect()}
+    assert got == stages_by_hand(spark, sf) and len(got) == 20
+    assert {got[i][0] for i in range(3, 21, 3)} == {"structured", "recipe"}
+
+
 def test_rules():
     html = page("100.000", extra='<a id="item-4711">x</a>')
     rule = compile_rule(html, "100.000 €", "price", "Kaufpreis")
