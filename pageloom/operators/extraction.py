@@ -1,12 +1,11 @@
 """Fields of pages: learned rules first, then structured data, then labels, then a rendered page, then a hand-over.
 
-State belongs to a (scope, field) and changes from page to page, so an exact
-replay runs a scope's pages in order.  That does not scale with a scope that
-holds a third of all pages; `extract` therefore learns on the first `learn_pages`
-pages of each scope by exact replay and applies the rules it then has
-to all others in parallel, where they are read.  Counters of that second phase
-are summed afterwards (`fold_counters`).  `replay` is the exact form for
-bounded scopes and for streams.
+State belongs to a (scope, field) and changes from page to page, so the pages of
+a scope are replayed in order.  They are shuffled by scope, sorted, and read one
+after another; a task holds one scope's portfolios and a slice of pages, so a
+scope may be of any size, but its pages are one task's work.  `apply_rules` uses
+portfolios as they are, in parallel and where the pages are read; what it finds
+is summed by `fold_counters`.
 """
 
 from __future__ import annotations
@@ -97,22 +96,32 @@ def _replay(prepared: DataFrame, specs: list[dict], start: dict[str, str], rende
     ddl = RESULT + ", state string"
     schema = arrow_schema(ddl)
 
-    def one(key, t: pa.Table) -> pa.Table:
-        scope = key[0].as_py()
-        books = {f: Portfolio.load(s) for f, s in json.loads(start.get(scope, "{}")).items()}
-        rows: list[dict] = []
-        for r in sorted(t.to_pylist(), key=lambda r: (r["seq"], r["page_id"] or 0)):
-            rows += page_fields(books, specs, r["page_id"], r["url"], scope, r["seq"], r["html"], r["rendered"], render, learn)
-        rows += [{"scope": scope, "field": f, "state": json.dumps(b.dump())} for f, b in books.items()]
-        return pa.Table.from_pylist(rows, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, books = None, None
+
+        def states() -> list[dict]:
+            return [{"scope": scope, "field": f, "state": json.dumps(b.dump())} for f, b in (books or {}).items()]
+
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            rows: list[dict] = []
+            for r in b.to_pylist():
+                if books is None or r["scope"] != scope:
+                    rows += states()
+                    scope = r["scope"]
+                    books = {f: Portfolio.load(s) for f, s in json.loads(start.get(scope, "{}")).items()}
+                rows += page_fields(books, specs, r["page_id"], r["url"], scope, r["seq"], r["html"], r["rendered"], render, learn)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+        if books is not None:
+            yield pa.RecordBatch.from_pylist(states(), schema)
 
     # A set number of partitions: few bytes are much work here, so they must not be merged.
     width = max(2 * prepared.sparkSession.sparkContext.defaultParallelism, int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return prepared.repartition(width, "scope").groupBy("scope").applyInArrow(lambda key, t: one(key, t), ddl)
+    order = F.coalesce("page_id", F.lit(0))
+    return prepared.repartition(width, "scope").sortWithinPartitions("scope", "seq", order).mapInArrow(run, ddl)
 
 
 def replay(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Exact results and states; each scope's pages are one task's work, so use it where scopes are bounded."""
+    """Exact results and states; each scope's pages are one task's work."""
     out = cut(_replay(_prepared(pages, scope, seq), _ready(specs), {}, render, learn))
     return out.where("page_id is not null").drop("state"), out.where("page_id is null").select("scope", "field", "state")
 
@@ -140,11 +149,16 @@ def apply_rules(prepared: DataFrame, specs: list[dict], states: DataFrame, rende
     return rows.mapInArrow(run, RESULT)
 
 
-def extract(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn_pages: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(results, states).  Learns on the first pages of each scope, applies to the rest in parallel.
+def extract(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, states), exact for scopes of any size.
 
-    Null html counts as an empty page; a url that repeats is one more page of
-    its scope; ties in `seq` go by page_id."""
+    Only where a caller sets `learn_pages` are rules learned on that many pages
+    of each scope and applied to the rest in parallel; then pages of the rest
+    teach nothing and are not in the states.  Null html counts as an empty
+    page; a url that repeats is one more page of its scope; ties in `seq` go by
+    page_id."""
+    if learn_pages is None:
+        return replay(pages, specs, scope, seq, render)
     ready = _ready(specs)
     p = _prepared(pages, scope, seq)
     order = Window.partitionBy("scope").orderBy("seq", "page_id")

@@ -27,8 +27,8 @@ PRICE = {"name": "price", "type": "price", "aliases": ["Preis"], "paths": ["offe
 
 
 def e_stages(spark, sf):
-    """Learns a rule on each scope's first pages, uses it on the rest; pages with structured data are among them."""
-    res, _ = extraction.extract(_detail(spark, sf), [PRICE], scope=F.concat(F.lit("size"), F.col("size").cast("string")), learn_pages=5)
+    """Learns rules page by page and uses them on later pages of a scope; pages with structured data are among them."""
+    res, _ = extraction.extract(_detail(spark, sf), [PRICE], scope=F.concat(F.lit("size"), F.col("size").cast("string")))
     return res.select("page_id", "stage", F.round("number", 2).alias("price"), "status")
 
 

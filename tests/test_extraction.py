@@ -92,6 +92,26 @@ def test_stages_of_all_parts(spark, tmp_path):
     assert {got[i][0] for i in range(3, 21, 3)} == {"structured", "recipe"}
 
 
+def test_stages_of_long_scopes(spark, tmp_path):
+    sf = parts(spark, tmp_path, 120, 2)
+    assert {r["page_id"]: (r["stage"], r["price"], r["status"]) for r in plans.e_stages(spark, sf).collect()} == stages_by_hand(spark, sf)
+
+
+def test_late_pages_of_a_scope_teach(spark):
+    """A field that first comes on page 30, a redesign on page 40; the states count all pages."""
+    new = lambda p: f"<html><body><h1>Haus</h1><div>Kaufpreis: <b>{p} €</b></div></body></html>"
+    htmls = ["<h1>Haus</h1>"] * 30 + [page(f"{100 + i}.000") for i in range(10)] + [new(f"{200 + i}.000") for i in range(10)]
+    df = spark.createDataFrame([(i, f"https://a.example/expose/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    res, states = extraction.extract(df, [PRICE])
+    books, want = {}, {}
+    for i, h in enumerate(htmls):
+        f = extraction.page_fields(books, [field_spec(PRICE)], i, f"https://a.example/expose/{i}", "a.example/expose/*", i, h, None, "auto", True)[0]
+        want[i] = (f["status"], f["stage"], f["number"], f["attempts"])
+    assert {r["page_id"]: (r["status"], r["stage"], r["number"], r["attempts"]) for r in res.collect()} == want
+    assert want[35][1] == "recipe" and any("promoted" in a for w in want.values() for a in w[3])
+    assert __import__("json").loads(states.first()["state"]) == books["price"].dump()
+
+
 def test_rules():
     html = page("100.000", extra='<a id="item-4711">x</a>')
     rule = compile_rule(html, "100.000 €", "price", "Kaufpreis")
