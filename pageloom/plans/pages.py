@@ -11,9 +11,8 @@ from pageloom.session import cut, spread, table
 
 
 def _graph(spark, sf):
-    """Graphs of the pages that the tables blocks and links have."""
-    pages = table(spark, sf, "fetch_results").where("html is not null and html <> ''")
-    return pagegraph.page_graph(pages.join(table(spark, sf, "blocks").select("page_id").distinct(), "page_id", "left_semi"))
+    """Graphs of all pages with html."""
+    return pagegraph.page_graph(table(spark, sf, "fetch_results").where("html is not null and html <> ''"))
 
 
 def g_blocks(spark, sf):

@@ -46,3 +46,18 @@ def test_graph_of_odd_rows(spark):
     assert {h["page_id"] for h in hits} == {1} and hits[0]["text"] == "Ein heller Garten."
     assert relevance.score_blocks(g, " ").count() == 0
     assert pagegraph.page_graph(pages.limit(0)).count() == 0
+
+
+def test_queries_parse_every_page_with_html(spark, tmp_path):
+    """A page that the table blocks lacks, as cached copies are, gives what its twin gives."""
+    from pageloom.plans import pages as plans
+
+    html = HTML.replace('"price":"12"', '"price":"12.5"').replace("</main>", '<a href="/o/2">Zwei</a><a href="/l?page=1">1</a><a href="/l?page=2" rel=next>2</a><a href="/l?page=9" rel=last>9</a></main>')
+    rows = [(1, "https://a.example/l", html), (2, "https://a.example/l", html), (3, "https://a.example/l", ""), (4, "https://a.example/l", None)]
+    spark.createDataFrame([(i, u, u, h) for i, u, h in rows], "page_id long, url string, final_url string, html string").write.parquet(f"{tmp_path}/fetch_results.parquet")
+    spark.createDataFrame([(1,)], "page_id long").write.parquet(f"{tmp_path}/blocks.parquet")
+    for q in (plans.g_blocks, plans.g_links, plans.g_offers, plans.g_summary, plans.v_pagination, plans.v_children, plans.r_search, plans.r_located):
+        got = [r.asDict() for r in q(spark, str(tmp_path)).collect()]
+        of = lambda p: sorted(repr({**r, "page_id": 0}) for r in got if r["page_id"] == p)
+        assert of(1) and of(2) == of(1) and {r["page_id"] for r in got} == {1, 2}, q.__name__
+    assert sum(r["pages"] for r in plans.v_coverage(spark, str(tmp_path)).collect()) == 2
