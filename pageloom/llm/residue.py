@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -254,7 +255,7 @@ def _prefixes(df: DataFrame, similarity: float, *keep: str) -> DataFrame:
     return df.select(*keep, n.alias("n"), F.explode(F.slice("prints", F.lit(1), n - F.ceil(n * similarity - 1e-9).cast("int") + 1)).alias("print"))
 
 
-def propagate(units: DataFrame, similarity: float = 0.8, rounds: int = 20) -> DataFrame:
+def propagate(units: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(unit, label) for all units in the component of a trusted one.
 
     units(unit, label, sim, prints): one row a distinct text.  Two sets of
@@ -268,24 +269,22 @@ def propagate(units: DataFrame, similarity: float = 0.8, rounds: int = 20) -> Da
     open_units = units.where(f"label = {REAL} and many")
     tabled = _prefixes(open_units, similarity, "unit")
     frontier, out = done.where("many").select("unit", "label", "sim", "prints"), [done.select("unit", "label")]
-    for _ in range(rounds):
+    while True:
         first = _prefixes(frontier, similarity, "unit").toDF("unit0", "n0", "print")
         pairs = tabled.join(first, "print").where((F.least("n", "n0") + 1e-9) >= similarity * F.greatest("n", "n0")).select("unit", "unit0").distinct()
         near = pairs.join(frontier.toDF("unit0", "label", "sim0", "prints0"), "unit0").join(open_units.select("unit", "sim", "prints"), "unit")
         both = F.size(F.array_intersect("prints", "prints0"))
         near = near.where(both >= similarity * (F.size("prints") + F.size("prints0") - both)).where("size(prints) > 1 or sim = sim0")
         new = near.groupBy("unit").agg(F.min("label").alias("label"), F.first("sim").alias("sim"), F.first("prints").alias("prints"))
-        for old in out:
+        # Neighbours of the frontier lie in the two rounds before or have no label yet, and trusted units are not open.
+        for old in out[-2:]:
             new = new.join(old, "unit", "left_anti")
         new = cut(new)
         if new.isEmpty():
             break
         out.append(new.select("unit", "label"))
         frontier = new
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+    return reduce(DataFrame.unionByName, out)
 
 
 #: Notes that quote what the page said; hints such as `thin_page` do not.

@@ -73,6 +73,16 @@ def test_every_near_duplicate_is_linked(spark):
     assert 450 < len(want) < len(rows)
 
 
+def test_long_chains_are_followed_to_the_end(spark):
+    """Each text has one shingle other than the text before."""
+    p, words = residue.Prints(), [f"{chr(97 + i // 26)}{chr(97 + i % 26)}wort" for i in range(70)]
+    texts = [" ".join(words[i : i + 20]) for i in range(27)]
+    rows = [(u, int(i == 0), s, h) for i, (u, s, h) in enumerate(p.of_many(texts))]
+    df = spark.createDataFrame(rows, "unit long, label int, sim long, prints array<int>")
+    got = [r["unit"] for r in residue.propagate(df, 0.88).collect()]
+    assert sorted(got) == sorted(r[0] for r in rows)
+
+
 # 4 garbled text
 SOUND = "Größe 72 m² – Preis 614.000 € · „schön“ Fußweg über die Straße, déjà vu à côté, mañana señor, Квартира, Διαμέρισμα, żółw, naïve Œuvre 5 °C ½ ©"
 
