@@ -123,17 +123,39 @@ contenido próximamente folgt venir escriba texto párrafo contenu texte paragra
 )
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]* +")
+
+
+def _anchored(plain: str, words: list[str]) -> bool:
+    return not _ANCHORS.isdisjoint(words) or "xception" in plain or "qwert" in plain
+
+
+def _by_sentences(plain: str) -> int | None:
+    """The label of a longer text, where at least half of its sentences are messages or filler; None for others."""
+    sentences = [x for x in _SENTENCE.split(plain) if x]
+    likely = [x for x in sentences if _anchored(x, _WORD.findall(x))]
+    if 2 * len(likely) < len(sentences):
+        return None
+    messages = [_MESSAGE.search(x) is not None for x in likely]
+    fills = sum(not m and _FILL.search(x) is not None for m, x in zip(messages, likely, strict=True))
+    if 2 * (sum(messages) + fills) < len(sentences):
+        return None
+    return MESSAGE if sum(messages) >= fills else FILLER
+
+
 def label_text(kind: str, text: str) -> tuple[int, str]:
     """The trusted label of a block and its bare text."""
     plain = bare(text)
     if kind != "pre" and _MAYBE_MARK.search(text) and (_PLACEHOLDER.search(text) or _PROGRAM_WORD.search(text)):
         return PLACEHOLDER, plain
     words = _WORD.findall(plain)
-    if len(plain) < 400 and (not _ANCHORS.isdisjoint(words) or "xception" in plain or "qwert" in plain):
+    if _anchored(plain, words):
         if len(plain) < 220 and _MESSAGE.search(plain):
             return MESSAGE, plain
-        if _FILL.search(plain):
+        if len(plain) < 400 and _FILL.search(plain):
             return FILLER, plain
+        if len(plain) >= 220 and (label := _by_sentences(plain)) is not None:
+            return label, plain
     return (FILLER if _is_filler(text, plain, words) else REAL), plain
 
 

@@ -83,6 +83,14 @@ def test_long_chains_are_followed_to_the_end(spark):
     assert sorted(got) == sorted(r[0] for r in rows)
 
 
+def test_long_messages_and_filler_in_one_block():
+    wait = "Bitte warten Sie einen Augenblick. Wir prüfen Ihren Browser, bevor es weitergeht. Bestätigen Sie, dass Sie ein Mensch sind. Aktivieren Sie JavaScript und laden Sie die Seite neu. Es gab zu viele Anfragen aus Ihrem Netz, versuchen Sie es später noch einmal."
+    fill = "Hier steht später Ihr Text. Das ist ein Blindtext für die Vorlage. Ein Musterabsatz zeigt die Länge der Zeilen. " * 4
+    real = " ".join(PAD.format(i) for i in range(4)) + " Der Stellplatz ist nicht mehr verfügbar."
+    assert len(wait) > 220 and len(fill) > 400 and len(real) > 400
+    assert [residue.label_text("p", x)[0] for x in (wait, fill, real)] == [residue.MESSAGE, residue.FILLER, residue.REAL]
+
+
 # 4 garbled text
 SOUND = "Größe 72 m² – Preis 614.000 € · „schön“ Fußweg über die Straße, déjà vu à côté, mañana señor, Квартира, Διαμέρισμα, żółw, naïve Œuvre 5 °C ½ ©"
 
