@@ -79,7 +79,7 @@ def _rules(spark, sf):
 
 
 def w_ranked(spark, sf):
-    return rulebook.ranked(_rules(spark, sf)).where("rank <= 5").select("scope", "id", "kind", "hits", "total_misses", "rank")
+    return rulebook.ranked(_rules(spark, sf)).select("scope", "id", "kind", "hits", "total_misses", "rank")
 
 
 def w_capped(spark, sf):

@@ -16,7 +16,7 @@ def q_tokens(spark, sf):
 
 def q_token_counts(spark, sf):
     d = table(spark, sf, "documents").select("lang", F.explode(N.tokens(F.col("text"))).alias("token"))
-    return d.groupBy("lang", "token").agg(F.count("*").alias("n")).where("n >= 5")
+    return d.groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
 def q_typed(spark, sf):

@@ -73,3 +73,14 @@ def test_field_specs():
 def test_flatten():
     assert S.flatten(S.load_json('<!--{"a":[{"b":1},{"b":null,"c":true}],"@graph":{"d":"x"}}-->')) == [("a.b", 1), ("d", "x")]
     assert S.load_json("{broken") is None
+
+
+def test_counts_and_ranks_are_whole(spark, tmp_path):
+    from pageloom.plans import portfolio, values
+
+    spark.createDataFrame([(1, "de", "Haus haus See"), (2, "en", "see")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["lang"], r["token"]): r["n"] for r in values.q_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {("de", "haus"): 2, ("de", "see"): 1, ("en", "see"): 1}
+    spark.createDataFrame([(i, 7 + 50 * i, 20.0 if i % 2 else 1.0, "view") for i in range(9)], "event_id long, user_id long, value double, event_type string").withColumn("ts", F.timestamp_seconds(F.col("event_id"))).write.parquet(f"{tmp_path}/events.parquet")
+    ranks = sorted((r["rank"], r["id"]) for r in portfolio.w_ranked(spark, str(tmp_path)).collect())
+    assert ranks == list(zip(range(1, 10), (1, 3, 5, 7, 0, 2, 4, 6, 8), strict=True))
