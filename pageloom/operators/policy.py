@@ -34,14 +34,14 @@ _VISIBLE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]+>"
 
 def visible_chars(html: Column) -> Column:
     """Characters that remain without tags, scripts and styles, blanks collapsed."""
-    return F.length(F.trim(F.regexp_replace(F.regexp_replace(F.substring(F.coalesce(html, F.lit("")), 1, 500_000), _VISIBLE, " "), f"{P.UNI_WS}+", " ")))
+    return F.length(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), _VISIBLE, " "), f"{P.UNI_WS}+", " ")))
 
 
 def challenge(status: Column, html: Column) -> Column:
     """The reason to call a response a challenge or a block; null for a page that can be read."""
-    head = F.substring(F.coalesce(html, F.lit("")), 1, 200_000)
-    odd, thin = F.coalesce(status.isin(*P.CHALLENGE_STATUSES), F.lit(False)), visible_chars(head) < P.THIN_CHARS
-    one = lambda words: F.lower(F.regexp_extract(head, "(?iu)" + "|".join(map(re.escape, words)), 0))
+    text = F.coalesce(html, F.lit(""))
+    odd, thin = F.coalesce(status.isin(*P.CHALLENGE_STATUSES), F.lit(False)), visible_chars(text) < P.THIN_CHARS
+    one = lambda words: F.lower(F.regexp_extract(text, "(?iu)" + "|".join(map(re.escape, words)), 0))
     technical, phrase = one(P.TECHNICAL_MARKERS), one(P.PHRASE_MARKERS)
     return (
         F.when(status == 429, "RATE_LIMITED").when((technical != "") & (odd | thin), F.concat(F.lit("CHALLENGE:"), technical)).when((phrase != "") & odd & thin, F.concat(F.lit("CHALLENGE:"), phrase))

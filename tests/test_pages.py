@@ -61,3 +61,15 @@ def test_queries_parse_every_page_with_html(spark, tmp_path):
         of = lambda p: sorted(repr({**r, "page_id": 0}) for r in got if r["page_id"] == p)
         assert of(1) and of(2) == of(1) and {r["page_id"] for r in got} == {1, 2}, q.__name__
     assert sum(r["pages"] for r in plans.v_coverage(spark, str(tmp_path)).collect()) == 2
+
+
+def test_challenges_are_found_in_long_pages(spark):
+    from pyspark.sql import functions as F
+
+    from pageloom.operators import policy
+
+    script = "<script>" + "x = 1; " * 80_000 + "</script>"
+    rows = [(1, 200, script + '<div class="g-recaptcha"></div>'), (2, 200, '<i class="g-recaptcha"></i>' + script + "<p>" + "Wohnung am See. " * 100), (3, 403, script + "Access denied")]
+    df = spark.createDataFrame(rows, "page_id long, status int, html string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("page_id", policy.challenge(F.col("status"), F.col("html")), policy.visible_chars(F.col("html"))).collect()}
+    assert got == {1: ("CHALLENGE:g-recaptcha", 0), 2: (None, 1599), 3: ("CHALLENGE:access denied", 13)}
