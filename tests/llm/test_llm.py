@@ -47,14 +47,16 @@ def test_residue(spark):
 
 def test_messages_are_known_by_their_fetches(spark):
     """No phrase list has these texts; a text that stands beside a known one follows; real pages with an error status stay."""
-    rows = [(i, f"g{i}", "h", site(f"<h1>Haus {i}</h1><p>{PAD.format(i)}</p>"), None, 404 if i % 19 == 0 else 200, "x", "y") for i in range(60)]
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12)) + ", frei ab sofort."
+    rows = [(i, f"g{i}", "h", site(f"<h1>Haus {i}</h1><p>{text()}</p>"), None, 404 if i % 40 == 0 else 200, "x", "y") for i in range(120)]
     told, beside = "Страница {} больше не существует.", "Ilmoitus {} on jo poistettu."
-    rows += [(100 + i, f"t{i}", "h", site(f"<p>{told.format(i)}</p>"), None, 404 if i < 5 else 200, "x", "y") for i in range(9)]
-    rows += [(200 + i, f"b{i}", "h", site(f"<p>{told.format(i)}</p><p>{beside.format(i)}</p>"), None, 200, "x", "y") for i in range(5)]
-    rows += [(300, "s", "h", site(f"<p>{beside.format(7)}</p>"), None, 200, "x", "y"), (301, "r", "h", site("<p>Ruhig gelegen.</p>"), None, 404, "x", "y"), (302, "m", "h", site(f"<p>{told.format(8)}</p><p>{PAD.format(99)}</p>"), None, 404, "x", "y")]
+    rows += [(200 + i, f"t{i}", "h", site(f"<p>{told.format(i)}</p>"), None, 404 if i < 7 else 200, "x", "y") for i in range(9)]
+    rows += [(300 + i, f"b{i}", "h", site(f"<p>{told.format(i)}</p><p>{beside.format(i)}</p>"), None, 200, "x", "y") for i in range(5)]
+    rows += [(400, "s", "h", site(f"<p>{beside.format(7)}</p>"), None, 200, "x", "y"), (401, "r", "h", site("<p>Ruhig gelegen.</p>"), None, 404, "x", "y"), (402, "m", "h", site(f"<p>{told.format(8)}</p><p>{text()}</p>"), None, 404, "x", "y")]
     df = spark.createDataFrame(rows, BASE)
     got = {r["page_id"] for r in residue.residue_pages(df).collect()}
-    assert got == {*range(100, 109), *range(200, 205), 300}
+    assert got == {*range(200, 209), *range(300, 305), 400}
     assert residue.residue_pages(df, evidence=False).count() == 0
 
 
