@@ -74,11 +74,15 @@ def d_gates(spark, sf):
 
 QUERIES = {f.__name__: f for f in (g_blocks, g_links, g_offers, g_summary, v_pagination, v_children, v_coverage, r_search, r_located, d_challenge, d_gates)}
 
-_PAGES = "(SELECT DISTINCT page_id FROM blocks)"
+#: Pages with html, and the page whose blocks and links are theirs: cached pages have those of the page with the same html and address.
+_SRC = """twin AS (SELECT html, coalesce(final_url, url) AS u, min(page_id) AS id FROM fetch_results WHERE page_id IN (SELECT page_id FROM blocks) GROUP BY 1, 2),
+ src AS (SELECT f.page_id, f.html, coalesce(b.page_id, t.id) AS from_id FROM fetch_results f LEFT JOIN (SELECT DISTINCT page_id FROM blocks) b ON b.page_id = f.page_id LEFT JOIN twin t ON t.html = f.html AND t.u IS NOT DISTINCT FROM coalesce(f.final_url, f.url) WHERE f.html <> ''),
+ bl AS (SELECT s.page_id, b.* EXCLUDE (page_id) FROM src s JOIN blocks b ON b.page_id = s.from_id),
+ lk AS (SELECT s.page_id, k.* EXCLUDE (page_id) FROM src s JOIN links k ON k.page_id = s.from_id)"""
 _FACTOR = "CASE region WHEN 'main' THEN 1.0 WHEN 'header' THEN 0.6 WHEN 'aside' THEN 0.5 ELSE 0.3 END"
 _LEVEL = "CASE heading_level WHEN 1 THEN 4.0 WHEN 2 THEN 3.0 WHEN 3 THEN 2.5 WHEN NULL THEN 1.0 ELSE CASE WHEN heading_level IS NULL THEN 1.0 ELSE 2.0 END END"
 #: Links of a page whose address holds a page number and which belong to its pagination, and those that say what they are.
-_PAGED = f"""k AS (SELECT l.page_id, l.pos, {Q.clean("l.href")} AS href, {Q.norm("l.text")} AS text, l.rel, {Q.clean("coalesce(f.final_url, f.url)")} AS here FROM links l JOIN fetch_results f ON l.page_id = f.page_id WHERE l.internal),
+_PAGED = f"""{_SRC}, k AS (SELECT l.page_id, l.pos, {Q.clean("l.href")} AS href, {Q.norm("l.text")} AS text, l.rel, {Q.clean("coalesce(f.final_url, f.url)")} AS here FROM lk l JOIN fetch_results f ON l.page_id = f.page_id WHERE l.internal),
  m AS (SELECT *, TRY_CAST(nullif(regexp_extract(href, '[?&]page=([0-9]+)(&|$)', 1), '') AS BIGINT) AS pg,
    CASE WHEN list_contains(rel, 'last') THEN 'last' WHEN list_contains(rel, 'next') THEN 'next' WHEN list_contains(rel, 'prev') OR list_contains(rel, 'previous') THEN 'prev' WHEN list_contains(rel, 'first') THEN 'first'
      WHEN text IN ('»', '>', '›', '→') THEN 'next' WHEN text IN ('«', '<', '‹', '←') THEN 'prev' END AS means FROM k),
@@ -91,23 +95,23 @@ _KIDS = f"""{_PAGED}, kids AS (SELECT m.page_id, m.pos, m.href, {Q.scope("m.href
 _VISIBLE = f"""length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]+>', ' ', 'g'), '{Q.UNI_WS}+', ' ', 'g')))"""
 _TERMS = SEARCH.lower().split()
 ORACLE = {
-    "g_blocks": f"SELECT page_id, block_id, kind, {Q.norm('text')} AS text, region, CAST(round(({_LEVEL}) * ({_FACTOR}), 4) AS DOUBLE) AS weight, table_row, heading_level, CAST(len(emphasis) AS INTEGER) AS strong, CAST(len(section) AS INTEGER) AS depth FROM blocks",
-    "g_links": f"SELECT page_id, pos, href, {Q.norm('text')} AS text, internal, nofollow, block_id, array_to_string(rel, ' ') AS rel FROM links WHERE page_id IN {_PAGES}",
-    "g_offers": f"""SELECT page_id, CAST(regexp_extract(html, '"offers":\\{{"price":"([0-9.]+)"', 1) AS DOUBLE) AS price FROM fetch_results WHERE page_id IN {_PAGES} AND regexp_matches(html, 'ld.json.*"offers":\\{{"price":"[0-9.]+"')""",
-    "g_summary": f"""WITH b AS (SELECT page_id, count(*) AS blocks, sum(length({Q.norm("text")})) AS chars, count(*) FILTER (heading_level = 1) AS h1, count(*) FILTER (heading_level IS NOT NULL) AS heads FROM blocks GROUP BY 1),
- k AS (SELECT page_id, count(*) FILTER (internal) AS i, count(*) FILTER (NOT internal) AS e, count(*) FILTER (nofollow) AS n FROM links GROUP BY 1),
- r AS (SELECT page_id, regexp_matches(html, '<div[^>]* id="?(root|app|__next|__nuxt)"') AS root, len(regexp_extract_all(html, '<script')) AS scripts, regexp_matches(html, 'application/ld.json') AS ld FROM fetch_results)
- SELECT b.page_id, CAST(b.blocks AS INTEGER) AS blocks, CAST(b.chars AS BIGINT) AS text_chars, CAST(coalesce(k.i, 0) AS INTEGER) AS links_internal, CAST(coalesce(k.e, 0) AS INTEGER) AS links_external, CAST(coalesce(k.n, 0) AS INTEGER) AS links_nofollow,
- CAST(least(b.h1, 5) AS INTEGER) AS h1, CAST(least(b.heads, 40) AS INTEGER) AS outline,
- (CASE WHEN b.chars < 400 THEN 0.45 ELSE 0 END + CASE WHEN r.root THEN 0.30 ELSE 0 END + CASE WHEN r.scripts >= 5 THEN 0.15 ELSE 0 END - CASE WHEN r.ld THEN 0.10 ELSE 0 END) >= 0.599 AS needs_render
- FROM b LEFT JOIN k ON b.page_id = k.page_id JOIN r ON b.page_id = r.page_id""",
+    "g_blocks": f"WITH {_SRC} SELECT page_id, block_id, kind, {Q.norm('text')} AS text, region, CAST(round(({_LEVEL}) * ({_FACTOR}), 4) AS DOUBLE) AS weight, table_row, heading_level, CAST(len(emphasis) AS INTEGER) AS strong, CAST(len(section) AS INTEGER) AS depth FROM bl",
+    "g_links": f"WITH {_SRC} SELECT page_id, pos, href, {Q.norm('text')} AS text, internal, nofollow, block_id, array_to_string(rel, ' ') AS rel FROM lk",
+    "g_offers": f"""SELECT page_id, CAST(regexp_extract(html, '"offers":\\{{"price":"([0-9.]+)"', 1) AS DOUBLE) AS price FROM fetch_results WHERE regexp_matches(html, 'ld.json.*"offers":\\{{"price":"[0-9.]+"')""",
+    "g_summary": f"""WITH {_SRC}, b AS (SELECT page_id, count(*) AS blocks, sum(length({Q.norm("text")})) AS chars, count(*) FILTER (heading_level = 1) AS h1, count(*) FILTER (heading_level IS NOT NULL) AS heads FROM bl GROUP BY 1),
+ k AS (SELECT page_id, count(*) FILTER (internal) AS i, count(*) FILTER (NOT internal) AS e, count(*) FILTER (nofollow) AS n FROM lk GROUP BY 1),
+ r AS (SELECT page_id, regexp_matches(html, '<div[^>]* id="?(root|app|__next|__nuxt)"') AS root, len(regexp_extract_all(html, '<script')) AS scripts, regexp_matches(html, 'application/ld.json') AS ld FROM src)
+ SELECT r.page_id, CAST(coalesce(b.blocks, 0) AS INTEGER) AS blocks, CAST(coalesce(b.chars, 0) AS BIGINT) AS text_chars, CAST(coalesce(k.i, 0) AS INTEGER) AS links_internal, CAST(coalesce(k.e, 0) AS INTEGER) AS links_external, CAST(coalesce(k.n, 0) AS INTEGER) AS links_nofollow,
+ CAST(least(coalesce(b.h1, 0), 5) AS INTEGER) AS h1, CAST(least(coalesce(b.heads, 0), 40) AS INTEGER) AS outline,
+ (CASE WHEN coalesce(b.chars, 0) < 400 THEN 0.45 ELSE 0 END + CASE WHEN r.root THEN 0.30 ELSE 0 END + CASE WHEN r.scripts >= 5 THEN 0.15 ELSE 0 END - CASE WHEN r.ld THEN 0.10 ELSE 0 END) >= 0.599 AS needs_render
+ FROM r LEFT JOIN b ON b.page_id = r.page_id LEFT JOIN k ON r.page_id = k.page_id""",
     "v_pagination": f"""WITH {_PAGED} SELECT s.page_id, 'page' AS kind, cur AS current_page, last AS last_page, nx AS next_url, la AS last_url, CASE WHEN last IS NULL THEN nx IS NOT NULL ELSE cur < last END AS has_next, greatest(0, last - cur) AS remaining_pages,
- CASE WHEN la IS NOT NULL THEN 'rel=last' END AS last_evidence, la IS NOT NULL AS bounded FROM s WHERE page_id IN (SELECT page_id FROM pu) AND page_id IN {_PAGES}""",
-    "v_children": f"WITH {_KIDS} SELECT page_id, scope, CASE WHEN contains(scope, '*') OR paths = 1 THEN 'detail_candidates' ELSE 'child_candidates' END AS kind, CAST(n AS INTEGER) AS n, first_url FROM g WHERE page_id IN {_PAGES}",
-    "v_coverage": f"""WITH {_KIDS}, c AS (SELECT p.page_id, coalesce(CASE WHEN s.last IS NULL THEN s.nx IS NOT NULL ELSE s.cur < s.last END, false) AS open, p.page_id IN (SELECT page_id FROM pu) AND s.la IS NULL AS unbounded, p.page_id IN (SELECT page_id FROM g) AS kids FROM {_PAGES} p LEFT JOIN s ON p.page_id = s.page_id)
+ CASE WHEN la IS NOT NULL THEN 'rel=last' END AS last_evidence, la IS NOT NULL AS bounded FROM s WHERE page_id IN (SELECT page_id FROM pu)""",
+    "v_children": f"WITH {_KIDS} SELECT page_id, scope, CASE WHEN contains(scope, '*') OR paths = 1 THEN 'detail_candidates' ELSE 'child_candidates' END AS kind, CAST(n AS INTEGER) AS n, first_url FROM g",
+    "v_coverage": f"""WITH {_KIDS}, c AS (SELECT p.page_id, coalesce(CASE WHEN s.last IS NULL THEN s.nx IS NOT NULL ELSE s.cur < s.last END, false) AS open, p.page_id IN (SELECT page_id FROM pu) AND s.la IS NULL AS unbounded, p.page_id IN (SELECT page_id FROM g) AS kids FROM src p LEFT JOIN s ON p.page_id = s.page_id)
  SELECT CASE WHEN open OR unbounded OR kids THEN 'INCOMPLETE' ELSE 'UNKNOWN' END AS coverage_status, concat_ws('+', CASE WHEN open THEN 'PAGINATION_OPEN' WHEN unbounded THEN 'PAGINATION_UNBOUNDED' END, CASE WHEN kids THEN 'CHILD_LEVEL_CANDIDATES' END) AS signals, count(*) AS pages FROM c GROUP BY 1, 2""",
-    "r_search": f"""WITH t AS (SELECT unnest({_TERMS!r}) AS term),
- b AS (SELECT page_id, block_id, regexp_extract_all({Q.fold("text")}, '[a-z0-9]+') AS tok, list_transform(section, lambda h: regexp_extract_all({Q.fold("h")}, '[a-z0-9]+')) AS heads, regexp_extract_all({Q.fold("array_to_string(emphasis, ' ')")}, '[a-z0-9]+') AS strong, ({_LEVEL}) * ({_FACTOR}) AS weight FROM blocks),
+    "r_search": f"""WITH {_SRC}, t AS (SELECT unnest({_TERMS!r}) AS term),
+ b AS (SELECT page_id, block_id, regexp_extract_all({Q.fold("text")}, '[a-z0-9]+') AS tok, list_transform(section, lambda h: regexp_extract_all({Q.fold("h")}, '[a-z0-9]+')) AS heads, regexp_extract_all({Q.fold("array_to_string(emphasis, ' ')")}, '[a-z0-9]+') AS strong, ({_LEVEL}) * ({_FACTOR}) AS weight FROM bl),
  p AS (SELECT page_id, count(*) AS n, CASE WHEN sum(len(tok)) = 0 THEN 1.0 ELSE sum(len(tok)) / count(*) END AS avg_len FROM b GROUP BY 1),
  d AS (SELECT b.page_id, t.term, count(*) FILTER (list_contains(b.tok, t.term)) AS df FROM b, t GROUP BY 1, 2),
  ti AS (SELECT page_id, regexp_extract_all({Q.fold("regexp_extract(html, '<title>([^<]*)', 1)")}, '[a-z0-9]+') AS title FROM fetch_results),

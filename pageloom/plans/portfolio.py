@@ -164,7 +164,12 @@ _RULES = """rules AS (SELECT CAST(user_id % 50 AS VARCHAR) AS scope, event_type,
  ranked AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, prior DESC, id) AS rank FROM scored)"""
 _OK, _ST = "coalesce(ok, false)", "('COMPLETE', 'PARTIAL', 'INCOMPLETE')"
 ORACLE = {
-    "e_stages": "SELECT p_partkey AS page_id, CASE WHEN row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) = 1 THEN 'label' ELSE 'recipe' END AS stage, round(p_retailprice, 2) AS price, 'FOUND' AS status FROM part WHERE p_partkey % 3 <> 0",
+    # Where a scope begins with structured data, that rule leads until it has missed twice in a row and the label's rule has hit twice.
+    "e_stages": """WITH p AS (SELECT p_partkey AS id, p_size AS s, p_retailprice AS v, p_partkey % 3 = 0 AS ld, p_partkey % 9 = 0 AS odd, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part),
+ c AS (SELECT *, count(*) FILTER (NOT ld) OVER w AS plain, n - coalesce(max(CASE WHEN ld THEN n END) OVER w, 0) AS run, first_value(ld) OVER w AS led FROM p WINDOW w AS (PARTITION BY s ORDER BY id)),
+ t AS (SELECT *, min(CASE WHEN NOT ld AND run >= 2 AND plain >= 2 THEN n END) OVER (PARTITION BY s) AS turn FROM c)
+ SELECT id AS page_id, CASE WHEN n = 1 THEN CASE WHEN ld THEN 'structured' ELSE 'label' END WHEN led AND NOT ld AND plain = 1 THEN 'label' ELSE 'recipe' END AS stage,
+ round(v + CASE WHEN ld AND odd AND led AND (turn IS NULL OR n <= turn) THEN 1 ELSE 0 END, 2) AS price, 'FOUND' AS status FROM t""",
     "e_provenance": """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0 THEN 'structured' ELSE 'label' END AS stage, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 9 <> 0 THEN 'CROSS_CONFIRMED' ELSE 'ENGINE_OBSERVED' END AS provenance,
  CASE WHEN p_partkey % 3 = 0 AND p_partkey % 9 <> 0 THEN 'FOUND' ELSE 'UNCONFIRMED' END AS status, p_partkey % 9 = 0 AS differs FROM part""",
     "e_cards": "SELECT s_suppkey AS page_id, 'label' AS stage, round(abs(s_acctbal), 2) AS balance FROM supplier",
@@ -173,7 +178,7 @@ ORACLE = {
     "w_misses": """WITH a AS (SELECT user_id, event_id, value >= 10 AS hit, sum(CASE WHEN value >= 10 THEN 1 ELSE 0 END) OVER w AS hits, sum(CASE WHEN value >= 10 THEN 0 ELSE 1 END) OVER w AS total_misses FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
  b AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, hits ORDER BY event_id) AS misses FROM a)
  SELECT user_id, event_id, CAST(hits AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses, CAST(total_misses AS BIGINT) AS total_misses, misses >= 2 AS stale FROM b""",
-    "w_ranked": f"WITH {_RULES} SELECT scope, id, kind, CAST(hits AS BIGINT) AS hits, CAST(total_misses AS BIGINT) AS total_misses, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5",
+    "w_ranked": f"WITH {_RULES} SELECT scope, id, kind, CAST(hits AS BIGINT) AS hits, CAST(total_misses AS BIGINT) AS total_misses, CAST(rank AS INTEGER) AS rank FROM ranked",
     "w_capped": f"""WITH {_RULES}, c AS (SELECT *, CASE WHEN rank > 3 THEN 'retired' ELSE 'candidate' END AS role FROM ranked), k AS (SELECT *, row_number() OVER (PARTITION BY scope, role ORDER BY updated_at DESC, id DESC) AS n FROM c)
  SELECT scope, id, role FROM k WHERE role <> 'retired' OR n <= 16""",
     "b_counters": f"""SELECT batch_id, count(*) AS attempted, count(*) FILTER ({_OK} AND status = 'COMPLETE') AS complete, count(*) FILTER ({_OK} AND status = 'PARTIAL') AS partial, count(*) FILTER ({_OK} AND status = 'INCOMPLETE') AS incomplete,

@@ -55,7 +55,7 @@ QUERIES = {f.__name__: f for f in (q_tokens, q_token_counts, q_typed, q_numbers,
 _TOK = f"regexp_extract_all({Q.fold('text')}, '[a-z0-9]+')"
 ORACLE = {
     "q_tokens": f"SELECT doc_id, md5({Q.fold('text')}) AS folded, CAST(len({_TOK}) AS INTEGER) AS tokens, {_TOK}[1] AS first_token FROM documents",
-    "q_token_counts": f"SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({_TOK}) AS token FROM documents) GROUP BY lang, token HAVING count(*) >= 5",
+    "q_token_counts": f"SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({_TOK}) AS token FROM documents) GROUP BY lang, token",
     "q_typed": "SELECT * FROM (SELECT page_id, block_id, "
     + ", ".join(f"{Q.typed('text', k)} AS {k}" for k in ("price", "area", "date", "email", "phone", "url", "integer", "number"))
     + " FROM blocks) WHERE coalesce(price, area, date, email, phone, url) IS NOT NULL",
