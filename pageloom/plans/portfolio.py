@@ -164,12 +164,11 @@ _RULES = """rules AS (SELECT CAST(user_id % 50 AS VARCHAR) AS scope, event_type,
  ranked AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, prior DESC, id) AS rank FROM scored)"""
 _OK, _ST = "coalesce(ok, false)", "('COMPLETE', 'PARTIAL', 'INCOMPLETE')"
 ORACLE = {
-    # Where a scope begins with structured data, that rule leads until it has missed twice in a row and the label's rule has hit twice.
+    # A rule from structured data finds a bare number, which only structured data may give as a price: it never hits, so structured
+    # data are asked again until the first page without them teaches the label's rule, which hits ever after.
     "e_stages": """WITH p AS (SELECT p_partkey AS id, p_size AS s, p_retailprice AS v, p_partkey % 3 = 0 AS ld, p_partkey % 9 = 0 AS odd, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part),
- c AS (SELECT *, count(*) FILTER (NOT ld) OVER w AS plain, n - coalesce(max(CASE WHEN ld THEN n END) OVER w, 0) AS run, first_value(ld) OVER w AS led FROM p WINDOW w AS (PARTITION BY s ORDER BY id)),
- t AS (SELECT *, min(CASE WHEN NOT ld AND run >= 2 AND plain >= 2 THEN n END) OVER (PARTITION BY s) AS turn FROM c)
- SELECT id AS page_id, CASE WHEN n = 1 THEN CASE WHEN ld THEN 'structured' ELSE 'label' END WHEN led AND NOT ld AND plain = 1 THEN 'label' ELSE 'recipe' END AS stage,
- round(v + CASE WHEN ld AND odd AND led AND (turn IS NULL OR n <= turn) THEN 1 ELSE 0 END, 2) AS price, 'FOUND' AS status FROM t""",
+ t AS (SELECT *, coalesce(min(n) FILTER (NOT ld) OVER (PARTITION BY s), 1000000000) AS m FROM p)
+ SELECT id AS page_id, CASE WHEN n < m THEN 'structured' WHEN n = m THEN 'label' ELSE 'recipe' END AS stage, round(v + CASE WHEN n < m AND odd THEN 1 ELSE 0 END, 2) AS price, 'FOUND' AS status FROM t""",
     "e_provenance": """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0 THEN 'structured' ELSE 'label' END AS stage, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 9 <> 0 THEN 'CROSS_CONFIRMED' ELSE 'ENGINE_OBSERVED' END AS provenance,
  CASE WHEN p_partkey % 3 = 0 AND p_partkey % 9 <> 0 THEN 'FOUND' ELSE 'UNCONFIRMED' END AS status, p_partkey % 9 = 0 AS differs FROM part""",
     "e_cards": "SELECT s_suppkey AS page_id, 'label' AS stage, round(abs(s_acctbal), 2) AS balance FROM supplier",
