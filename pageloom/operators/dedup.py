@@ -2,29 +2,34 @@
 
 Identifiers are dictionary-encoded exactly (a code for each distinct
 identifier, dense within its shard), seen codes live in compressed bitmaps,
-one bitmap a shard, and a run keeps one arrival for each bit that was not yet
-set.  The new dictionary entries and bits become visible all at once, when the
-driver publishes the manifest that names them.
+one bitmap a shard, and a batch keeps one arrival for each bit that was not yet
+set.  A batch writes the new dictionary entries and the new bits only; they
+become visible all at once, when the driver creates the manifest that names
+them.  A whole table is run as a few batches in order of arrival, so the first
+arrival of a message is in the first batch that shows it.
 
 Scale.  Each Arrow chunk first keeps only its own best arrival of an
 identifier (every other one is certainly surplus), so an identifier that holds
 a third of all rows sends one row a chunk into the shuffle.  The shuffle then
-carries the survivors' 16-byte keys only, spread over `shards`.
+carries the survivors' keys only, spread over shards whose number follows from
+the number of rows.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.session import cut, shared_dir
+
 CHUNK = 1 << 16
 
 
@@ -81,13 +86,17 @@ class SeenBitmap:
         return SeenBitmap(blocks)
 
 
-def message_key(column: str = "msg_id"):
-    """The hexadecimal digits of an identifier as bytes; null where the identifier is null.
+def exact_key(column: str) -> Column:
+    """The identifier as it is, without blanks around it; null where it is null."""
+    return F.trim(F.col(column).cast("string"))
+
+
+def hex_key(column: str = "msg_id") -> Column:
+    """The hexadecimal digits of an identifier; null where the identifier is null.
 
     An identifier without any hexadecimal digit keeps its trimmed text, with a
     mark before it that no digits can give, so that it equals only itself."""
     text = F.col(column).cast("string")
-    # One class of characters is dropped in two native steps; the result is exact, never a hash.
     digits = F.regexp_replace(F.lower(text), "[^0-9a-f]", "")
     return F.when(digits != "", digits).when(text.isNotNull(), F.concat(F.lit("="), F.trim(text)))
 
@@ -105,14 +114,14 @@ def _best_of_chunk(keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndar
 _ARRIVALS = "key string, at long, id long, local boolean"
 
 
-def arrivals(df: DataFrame, id_col: str, msg_col: str, time_col: str) -> DataFrame:
+def arrivals(df: DataFrame, id_col: str, msg_col: str, time_col: str, key: Callable[[str], Column] = exact_key) -> DataFrame:
     """(key, at, id, local): local is false for arrivals that lose within their chunk.
 
     Rows with a null identifier are messages of their own and leave here; a
     null time counts as later than any time, a null id as larger than any id."""
     last = F.lit(2**63 - 1)
     flat = df.select(
-        message_key(msg_col).alias("key"),
+        key(msg_col).alias("key"),
         F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), last).alias("at"),
         F.coalesce(F.col(id_col).cast("long"), last).alias("id"),
     ).where("key is not null")
@@ -140,7 +149,7 @@ def arrivals(df: DataFrame, id_col: str, msg_col: str, time_col: str) -> DataFra
     return flat.mapInArrow(run, _ARRIVALS)
 
 
-_SHARD = "shard int, id long, kept boolean, dictionary binary, bitmap binary"
+_SHARD = "shard int, id long, kept boolean, first long, dictionary binary, bitmap binary"
 
 
 def _encode(keys: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -171,26 +180,39 @@ def _unpack(data: bytes | None) -> pa.Array:
 class SeenStore:
     """Dictionaries and seen-bitmaps by shard in a shared folder.
 
-    A batch writes its shards to a folder of its own and then one small
-    manifest file; a reader follows the newest manifest, so a batch is seen
-    wholly or not at all, and a batch that died half way leaves nothing."""
+    A batch writes what it adds to a folder of its own and then creates one
+    small manifest, numbered after the newest one, that names all folders of the
+    state; creating it fails if another batch has taken the number.  A reader
+    follows the newest whole manifest, so a batch is seen wholly or not at all,
+    and a batch that died half way leaves nothing that counts.  Every
+    `compact_after` batches the state is written whole, and folders that neither
+    of the last two manifests names are removed."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = 8):
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> tuple[int, dict | None]:
+    def _manifests(self) -> list[tuple[int, dict | None]]:
+        """(number, content) of all manifests; a content that was not written to its end is None."""
         root = self._p(f"{self.path}/manifests")
         if not self._fs.exists(root):
-            return 0, None
-        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
-        done = sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-        if not done:
-            return 0, None
-        text = self.spark.read.text(f"{self.path}/manifests/{done[-1]:012d}.json", wholetext=True).first()[0]
-        return done[-1], json.loads(text)
+            return []
+        numbers = sorted(int(n[:-5]) for f in self._fs.listStatus(root) if (n := f.getPath().getName()).endswith(".json") and n[:-5].isdigit())
+        out: list[tuple[int, dict | None]] = []
+        for n in numbers[-3:]:
+            text = self.spark.read.text(f"{self.path}/manifests/{n:012d}.json", wholetext=True).first()
+            try:
+                out.append((n, json.loads(text[0]) if text else None))
+            except ValueError:
+                out.append((n, None))
+        return out
+
+    def version(self) -> tuple[int, dict | None]:
+        """The newest number, and the newest whole manifest."""
+        all_of = self._manifests()
+        return (all_of[-1][0] if all_of else 0), next((m for _, m in reversed(all_of) if m), None)
 
     def state(self, shards: int) -> DataFrame | None:
         _, m = self.version()
@@ -198,40 +220,47 @@ class SeenStore:
             return None
         if m["shards"] != shards:
             raise ValueError(f"the store has {m['shards']} shards, not {shards}")
-        return self.spark.read.parquet(f"{self.path}/{m['data']}")
-
-    def publish(self, data: str, shards: int, base: int) -> None:
-        """Makes `data` the newest state, unless another batch was published since `base`."""
-        name = f"{self.path}/manifests/{base + 1:012d}.json"
-        draft = self._p(f"{self.path}/manifests/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft)
+        return self.spark.read.parquet(*[f"{self.path}/{d}" for d in m["data"]])
+
+    def publish(self, data: list[str], shards: int, base: int) -> None:
+        """Makes the folders `data` the newest state, unless another batch was published since `base`."""
+        try:
+            out = self._fs.create(self._p(f"{self.path}/manifests/{base + 1:012d}.json"), False)
+        except Exception as e:
+            raise RuntimeError("another batch was published meanwhile; run this batch again") from e
         out.write(bytearray(json.dumps({"data": data, "shards": shards}).encode()))
         out.close()
-        if self._fs.exists(self._p(name)) or not self._fs.rename(draft, self._p(name)):
-            self._fs.delete(draft, False)
-            raise RuntimeError("another batch was published meanwhile; run this batch again")
+        named = {d for _, m in self._manifests()[-2:] if m for d in m["data"]}
+        if len(data) == 1:
+            for f in self._fs.listStatus(self._p(self.path)):
+                name = f.getPath().getName()
+                if name.startswith("state-") and name not in named and int(name[6:18]) <= base:
+                    self._fs.delete(f.getPath(), True)
 
 
-def select_unseen(cand: DataFrame, shards: int, state: DataFrame | None = None, keep_state: bool = False) -> DataFrame:
-    """One kept arrival for each unseen bit of a shard; with keep_state also each shard's new dictionary and bitmap."""
+def select_unseen(cand: DataFrame, shards: int, state: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """One kept arrival for each unseen bit of a shard, and a row a shard with what is new in its dictionary and bitmap; all of it if `whole`."""
     left = cand.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    names = ["shard", "id", "kept", "first", "dictionary", "bitmap"]
 
     def one(shard: int, rows: pa.Table, old: pa.Table | None) -> pa.Table:
-        has = old is not None and old.num_rows
-        known = _unpack(old["dictionary"][0].as_py() if has else None)
-        seen = SeenBitmap.loads(old["bitmap"][0].as_py() if has else None)
+        parts = sorted(old.select(["first", "dictionary", "bitmap"]).to_pylist(), key=lambda r: r["first"]) if old is not None else []
+        known = pa.concat_arrays([pa.array([], pa.string()), *(_unpack(r["dictionary"]) for r in parts)])
+        seen = SeenBitmap()
+        for r in parts:
+            seen = seen.union(SeenBitmap.loads(r["bitmap"]))
+        before = len(known)
         keys = rows["key"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
         codes, known = _encode(keys, known)
         at, ids = rows["at"].to_numpy(), rows["id"].to_numpy()
         kept = _best_of_chunk(codes, at, ids) & ~seen.contains(codes)
-        seen.add(codes[kept])
+        new = SeenBitmap()
+        new.add(codes[kept])
         n = len(ids)
-        cols = [pa.array(np.full(n, shard, np.int32)), pa.array(ids), pa.array(kept), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-        names = ["shard", "id", "kept", "dictionary", "bitmap"]
-        out = pa.table(cols, names)
-        if keep_state:
-            new = pa.table([pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([_pack(known)], pa.binary()), pa.array([seen.dumps()], pa.binary())], names)
-            out = pa.concat_tables([out, new])
+        out = pa.table([pa.array(np.full(n, shard, np.int32)), pa.array(ids), pa.array(kept), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+        first, entries, bits = (0, known, seen.union(new)) if whole else (before, known[before:], new)
+        if whole or len(entries):
+            out = pa.concat_tables([out, pa.table([pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([first], pa.int64()), pa.array([_pack(entries)], pa.binary()), pa.array([bits.dumps()], pa.binary())], names)])
         return out
 
     if state is None:
@@ -239,38 +268,54 @@ def select_unseen(cand: DataFrame, shards: int, state: DataFrame | None = None,
     return left.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(lambda key, a, b: one(key[0].as_py(), a, b), _SHARD)
 
 
-def shard_count(df: DataFrame) -> int:
-    """Enough shards for the session's shuffle width; a shard's dictionary must fit in a task."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+#: Rows of a shard: its dictionary is held by one task.
+SHARD_ROWS = 1_000_000
 
 
-def surplus_deliveries(df: DataFrame, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", shards: int | None = None) -> DataFrame:
-    """Ids of all arrivals but the first of each message (least time, then least id).
+def shard_count(spark: SparkSession, rows: int) -> int:
+    """At least a shard for each core, and few enough rows in each that its dictionary fits in a task."""
+    return max(8, spark.sparkContext.defaultParallelism, -(-rows // SHARD_ROWS))
+
 
-    Null identifiers are never surplus; empty input gives no rows; further
-    columns, whatever their names, are not read."""
-    a = arrivals(df, id_col, msg_col, time_col)
-    from pageloom.session import cut
+def _keep(store: SeenStore, cand: DataFrame, shards: int) -> DataFrame:
+    """(id, kept) of a batch's candidates; the store knows them when this returns."""
+    base, m = store.version()
+    before = m["data"] if m else []
+    whole = len(before) >= store.compact_after
+    data, at = f"state-{base + 1:012d}-{uuid.uuid4().hex}", f"{store.path}/ids-{base + 1:012d}-{uuid.uuid4().hex}"
+    select_unseen(cand, shards, store.state(shards), whole).write.partitionBy("kept").parquet(at)
+    out = store.spark.read.schema(_SHARD).parquet(at)
+    out.where("bitmap is not null").select("shard", "first", "dictionary", "bitmap").coalesce(max(1, shards // 8)).write.parquet(f"{store.path}/{data}")
+    store.publish([data] if whole else [*before, data], shards, base)
+    return out.where("bitmap is null").select("id", "kept")
+
+
+def surplus_deliveries(df: DataFrame, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", key: Callable[[str], Column] = exact_key, batches: int = 3, shards: int | None = None) -> DataFrame:
+    """Ids of all arrivals but the first of each message (least time, then least id).
 
-    a = cut(a)
-    winners = select_unseen(a.where("local").select("key", "at", "id"), shards or shard_count(df))
-    lost = a.where("not local").select("id").unionByName(winners.where("not kept").select("id"))
+    The arrivals are taken in `batches` slices of time, one after another; what a
+    slice has seen is in the bitmaps of a store in the shared folder when the next
+    one comes.  Null identifiers are never surplus; empty input gives no rows;
+    further columns, whatever their names, are not read."""
+    spark = df.sparkSession
+    a = cut(arrivals(df, id_col, msg_col, time_col, key))
+    best = a.where("local").select("key", "at", "id")
+    rows, bounds = best.agg(F.count("*"), F.percentile_approx("at", [i / batches for i in range(1, batches)] or [0.5], 1000)).first()
+    store, shards = SeenStore(spark, f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}"), shards or shard_count(spark, rows)
+    edges = sorted(set(bounds or [])) if batches > 1 else []
+    lost = a.where("not local").select("id")
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = best.where((F.lit(True) if low is None else F.col("at") > low) & (F.lit(True) if high is None else F.col("at") <= high))
+        lost = lost.unionByName(_keep(store, part, shards).where("not kept").select("id"))
     return lost.select(F.col("id").alias(id_col))
 
 
-def keep_new(store: SeenStore, batch: DataFrame, shards: int, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at") -> DataFrame:
+def keep_new(store: SeenStore, batch: DataFrame, shards: int, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", key: Callable[[str], Column] = exact_key) -> DataFrame:
     """Ids of a batch's arrivals to keep: the first of each message that no earlier batch has shown.
 
     The batch's new codes are unioned into the store before this returns; if it
     fails before, the store is as it was and the batch can be run again.  Rows
     with a null identifier are all kept."""
-    base, _ = store.version()
-    state = store.state(shards)
-    a = arrivals(batch, id_col, msg_col, time_col).where("local").select("key", "at", "id")
-    data = f"batch-{base + 1:012d}-{uuid.uuid4().hex}"
-    select_unseen(a, shards, state, keep_state=True).write.parquet(f"{store.path}/{data}-out")
-    out = store.spark.read.parquet(f"{store.path}/{data}-out")
-    out.where("bitmap is not null").select("shard", "dictionary", "bitmap").write.parquet(f"{store.path}/{data}")
-    store.publish(data, shards, base)
-    nulls = batch.where(message_key(msg_col).isNull()).select(F.col(id_col).cast("long").alias(id_col))
-    return out.where("kept").select(F.col("id").alias(id_col)).unionByName(nulls)
+    a = arrivals(batch, id_col, msg_col, time_col, key).where("local").select("key", "at", "id")
+    nulls = batch.where(key(msg_col).isNull()).select(F.col(id_col).cast("long").alias(id_col))
+    return _keep(store, a, shards).where("kept").select(F.col("id").alias(id_col)).unionByName(nulls)

@@ -11,14 +11,14 @@ from pageloom.session import table
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Surplus rows of result_rows."""
-    return dedup.surplus_deliveries(table(spark, sf, "result_rows"))
+    return dedup.surplus_deliveries(table(spark, sf, "result_rows"), key=dedup.hex_key)
 
 
 def p3_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Every message once: the kept rows."""
     rows = table(spark, sf, "result_rows")
-    return rows.join(dedup.surplus_deliveries(rows), "delivery_id", "left_anti").select(
-        "delivery_id", dedup.message_key().alias("msg_key"), "url", "ok"
+    return rows.join(dedup.surplus_deliveries(rows, key=dedup.hex_key), "delivery_id", "left_anti").select(
+        "delivery_id", dedup.hex_key().alias("msg_key"), "url", "ok"
     )
 
 
