@@ -44,7 +44,7 @@ class Pages:
 
     def extract(self, fields: list, scope: str | None = None, exact: bool = False, **how) -> tuple[DataFrame, DataFrame]:
         """(results, states); `exact` replays whole scopes in order."""
-        run = extraction.replay if exact else extraction.extract
+        run = extraction.replay if exact else extraction.extract  # `start` goes on from the states of a RuleStore
         return run(self.pages, fields, scope=None if scope is None else F.lit(scope), **how)
 
     def expand(self, seeds: DataFrame, **limits) -> dict:
@@ -70,9 +70,23 @@ class RuleStore:
         v = self._versions()
         return self.spark.read.schema(extraction.STATE).parquet(f"{self.path}/v{v[-1]:09d}") if v else self.spark.createDataFrame([], extraction.STATE)
 
-    def save(self, states: DataFrame) -> int:
-        """Writes beside the current version, then gives it its name."""
-        v = (self._versions() or [0])[-1] + 1
+    def save(self, states: DataFrame, base: int | None = None) -> int:
+        """Writes the new version beside the current one, then gives it its name.
+
+        The states given stand in place of those of the same (scope, field); all
+        others stay.  `base` is the version that the states go on from: if another
+        one was written since, this raises and nothing is changed."""
+        now = (self._versions() or [0])[-1]
+        if base is not None and now != base:
+            raise RuntimeError("another version was written meanwhile")
+        old = self.states().join(states.select("scope", "field"), ["scope", "field"], "left_anti")
+        return self._write(states.select("scope", "field", "state").unionByName(old), now)
+
+    def version(self) -> int:
+        return (self._versions() or [0])[-1]
+
+    def _write(self, states: DataFrame, now: int) -> int:
+        v = now + 1
         draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
         states.write.parquet(draft)
         if not self._fs.rename(self._p(draft), self._p(f"{self.path}/v{v:09d}")):
@@ -89,12 +103,12 @@ class RuleStore:
         """Removes portfolios; gives how many rules went."""
         gone = (F.col("scope") == scope) & (F.lit(True) if field is None else F.col("field") == field)
         n = self.rules(scope).where(gone).count()
-        self.save(self.states().where(~gone))
+        self._write(self.states().where(~gone), self.version())
         return n
 
 
 def register(spark: SparkSession) -> None:
-    """The functions as temporary SQL functions, and the web source."""
+    """The functions as temporary SQL functions, all of them native expressions, and the web source."""
     from pageloom.functions.patterns import UMLAUTS, UNI_WS
     from pageloom.sources import web
 
@@ -106,13 +120,39 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_normalize(x STRING) RETURNS STRING RETURN {norm}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_fold(x STRING) RETURNS STRING RETURN {fold}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_tokens(x STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all({fold}, '([a-z0-9]+)', 1)")
-    spark.udf.register("page_number", S.parse_number, "double")
-    spark.udf.register("page_scope", S.scope_of, "string")
+    figures = "translate(page_normalize(x), '０１２３４５６７８９٠١٢٣٤٥٦٧٨٩', '01234567890123456789')"
+    digits = f"""regexp_replace(regexp_replace(regexp_extract({figures}, "-?[0-9][0-9.,' ]*", 0), "[' ]", ''), '[.,]+$', '')"""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_number_digits(x STRING) RETURNS STRING RETURN {digits}")
+    dots, commas, no_comma, no_dot = "(length(n) - length(replace(n, '.', '')))", "(length(n) - length(replace(n, ',', '')))", "replace(n, ',', '')", "replace(n, '.', '')"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION page_number_value(n STRING) RETURNS DOUBLE RETURN try_cast(CASE
+        WHEN {dots} > 0 AND {commas} > 0 THEN CASE WHEN length(substring_index(n, '.', -1)) < length(substring_index(n, ',', -1)) THEN {no_comma} ELSE replace({no_dot}, ',', '.') END
+        WHEN {commas} > 1 THEN {no_comma} WHEN {commas} = 1 THEN replace(n, ',', '.') WHEN {dots} > 0 AND n RLIKE r'^-?[0-9]{{1,3}}([.][0-9]{{3}})+$' THEN {no_dot} ELSE n END AS DOUBLE)""")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION page_number(x STRING) RETURNS DOUBLE RETURN page_number_value(page_number_digits(x))")
+    part = lambda i: f"regexp_extract(coalesce(x, ''), r'{N.URL_PARTS}', {i})"
+    host = f"regexp_replace(regexp_replace(regexp_replace(lower({part(2)}), '^.*@', ''), ':[0-9]*$', ''), '^www[.]', '')"
+    stem = "regexp_replace(s, r'[.][^.]*$', '')"
+    shown = f"transform(slice(filter(split({part(3)}, '/'), s -> s <> ''), 1, 4), s -> CASE WHEN {stem} RLIKE '[0-9]' OR (length({stem}) > 24 AND contains({stem}, '-')) THEN '*' ELSE lower({stem}) END)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_scope(x STRING) RETURNS STRING RETURN CASE WHEN {host} = '' THEN 'inline' ELSE concat({host}, '/', array_join({shown}, '/')) END")
     web.register(spark)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def safe_call(f, *args, **how) -> dict:
+    """What f gives, as {"ok": True, "value"}; any failure as {"ok": False, "error"} with a code, never as an exception."""
+    try:
+        return {"ok": True, "value": f(*args, **how)}
+    except S.FieldError as e:
+        return {"ok": False, "error": {"code": e.code, "message": str(e), "recoverable": False}}
+    except Exception as e:
+        return {"ok": False, "error": {"code": "INTERNAL_ERROR", "message": f"{type(e).__name__}: {e}"[:500], "recoverable": False}}
+
+
 def page_table(spark: SparkSession, sf_dir: str) -> Pages:
     return Pages(table(spark, sf_dir, "fetch_results"))
 
 
-__all__ = ["FIELDS_DDL", "N", "Pages", "RuleStore", "page_table", "register"]
+__all__ = ["FIELDS_DDL", "N", "Pages", "RuleStore", "exists", "page_table", "register", "safe_call"]

@@ -1,4 +1,6 @@
-"""Command line: observe, locate, extract, expand, rules and forget over tables of pages or HTML files."""
+"""Command line: observe, locate, extract, extract-batch, expand, rules and forget over tables of pages or HTML files.
+
+Exit codes: 0 done, 2 wrong arguments or (with --fail-on-error) rows with errors, 3 the first rows of a batch say that its strategy needs a look."""
 
 from __future__ import annotations
 
@@ -9,11 +11,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.api import Pages, RuleStore
+from pageloom.api import Pages, RuleStore, exists
 from pageloom.functions.scalars import FieldError
-from pageloom.operators.batch import advisories
+from pageloom.operators import batch, batchrun
 from pageloom.operators.extraction import calls
-from pageloom.sources.files import html_files, url_set, write_jsonl, write_url_list
+from pageloom.sources.files import html_files, result_log, url_set, write_jsonl, write_url_list
 
 
 def _pages(spark: SparkSession, a: argparse.Namespace) -> Pages:
@@ -29,7 +31,7 @@ def _pages(spark: SparkSession, a: argparse.Namespace) -> Pages:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="pageloom")
     sub = p.add_subparsers(dest="what", required=True)
-    for name in ("observe", "locate", "extract", "expand"):
+    for name in ("observe", "locate", "extract", "extract-batch", "expand"):
         s = sub.add_parser(name)
         s.add_argument("--pages")
         s.add_argument("--html")
@@ -37,11 +39,15 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--out", required=True)
         if name == "locate":
             s.add_argument("query")
-        if name == "extract":
+        if name.startswith("extract"):
             s.add_argument("--fields", required=True, help="JSON list of names or specs")
             s.add_argument("--store")
             s.add_argument("--render", choices=["auto", "on_miss", "never"], default="auto")
+            s.add_argument("--no-learn", action="store_true")
             s.add_argument("--fail-on-error", action="store_true")
+        if name == "extract-batch":
+            s.add_argument("--resume", action="store_true", help="skip urls whose last row in --out is final, and append")
+            s.add_argument("--continue-on-preflight-warning", action="store_true")
         if name == "expand":
             s.add_argument("--seeds", required=True)
             for limit, n in (("max-pages", 5000), ("max-urls", 100_000), ("max-depth", 3)):
@@ -54,8 +60,10 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if a.what == "expand" and (min(a.max_pages, a.max_urls) < 1 or a.max_depth < 0):
         p.error("max-pages and max-urls must be 1 or more, max-depth 0 or more")
-    if a.what in ("observe", "locate", "extract", "expand") and bool(a.pages) == bool(a.html):
+    if a.what in ("observe", "locate", "extract", "extract-batch", "expand") and bool(a.pages) == bool(a.html):
         p.error("exactly one of --pages and --html is needed")
+    if a.what == "extract-batch" and not a.urls:
+        p.error("extract-batch needs --urls")
     spark = SparkSession.builder.appName("pageloom").getOrCreate()
     say = lambda **x: print(json.dumps(x, ensure_ascii=False), file=sys.stderr)
     try:
@@ -73,14 +81,30 @@ def main(argv: list[str] | None = None) -> int:
             write_url_list(got["details"], a.out)
             say(limited_by=got["limited_by"], exhausted=got["exhausted"])
         else:
-            results, states = _pages(spark, a).extract(json.loads(a.fields), render=a.render)
-            rows = results.groupBy("page_id", "url").agg(F.collect_list(F.struct("field", "status", "stage", "value", "number", "provenance", "signals", "attempts")).alias("fields")).join(calls(results).drop("url", "scope"), "page_id").withColumn("ok", F.lit(True))
-            write_jsonl(rows, a.out)
-            if a.store:
-                RuleStore(spark, a.store).save(states)
-            told = advisories(rows.withColumn("fields", F.transform("fields", lambda f: F.struct(f.field.alias("name"), f.status.alias("status"))))).collect()
-            say(advisories=[r.asDict() for r in told])
-            if a.fail_on_error and any(r["code"] == "LOW_BATCH_YIELD" for r in told):
+            store = RuleStore(spark, a.store) if a.store else None
+            base = store.version() if store else 0
+            how = {"render": a.render, "learn": not a.no_learn, "start": store.states() if store else None}
+            if a.what == "extract":
+                results, states = _pages(spark, a).extract(json.loads(a.fields), exact=True, **how)
+                rows = results.groupBy("page_id", "url").agg(F.collect_list(F.struct(F.col("field").alias("name"), "status", "stage", "value", "number", "provenance", "signals", "attempts")).alias("fields")).join(calls(results).drop("url", "scope"), "page_id").withColumn("ok", F.lit(True))
+                write_jsonl(rows, a.out)
+                say(advisories=[r.asDict() for r in batch.advisories(rows).collect()])
+                code, errors = 0, 0
+            else:
+                pages = spark.read.parquet(a.pages) if a.pages else html_files(spark, a.html).withColumn("page_id", F.xxhash64("url"))
+                log = None
+                if a.resume:
+                    # A folder that is not there yet is an empty log; rows of later files stand after those of earlier ones.
+                    log = result_log(spark, a.out) if exists(spark, a.out) else None
+                got = batchrun.run(pages, url_set(spark, a.urls), json.loads(a.fields), log, ["written", "line"], go_on=a.continue_on_preflight_warning, **how)
+                write_jsonl(got["rows"], a.out, append=a.resume)
+                states, code, errors = got["states"], got["code"], got["summary"]["batch"]["errors"]
+                say(**got["summary"])
+            if store:
+                store.save(states, base)
+            if code:
+                return code
+            if a.fail_on_error and errors:
                 return 2
     except FieldError as e:
         print(json.dumps({"ok": False, "error": {"code": e.code, "message": str(e), "recoverable": False}}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +56,47 @@ def exploded_counts(rows: DataFrame, column: str, unknown: str) -> DataFrame:
 
 
 def advisories(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(group, code, value): what looks unusual in a batch; never why."""
+    """(group, code, value, fields, omitted): what looks unusual in a batch; never why.
+
+    `fields` are the first names of the fields that were never found, `omitted`
+    how many more there are.  Without groups an empty batch gives EMPTY_INPUT_SET;
+    with groups there is no row to give it for."""
     keys = by or []
     c = counters(rows, keys)
+    no_names = [F.lit(None).cast("array<string>").alias("fields"), F.lit(None).cast("int").alias("omitted")]
     needs = F.filter(F.coalesce("fields", F.array().cast(rows.schema["fields"].dataType)), lambda f: f.status == "NEEDS_AGENT")
     seen = rows.where(F.coalesce("ok", F.lit(False))).groupBy(*keys).agg(F.sum(F.size("fields")).alias("observed"), F.sum(F.size(needs)).alias("agent"))
     both = c.join(seen, keys, "left") if keys else c.join(F.broadcast(seen))
     usable, share = (F.col("complete") + F.col("partial")) / F.col("attempted"), F.col("agent") / F.col("observed")
-    low = both.where((F.col("attempted") >= LEAST) & (usable <= LOW_YIELD)).select(*keys, F.lit("LOW_BATCH_YIELD").alias("code"), F.round(usable, 4).alias("value"))
-    high = both.where((F.col("observed") >= LEAST) & (share >= HIGH_AGENT)).select(*keys, F.lit("HIGH_AGENT_ESCALATION").alias("code"), F.round(share, 4).alias("value"))
+    low = both.where((F.col("attempted") >= LEAST) & (usable <= LOW_YIELD)).select(*keys, F.lit("LOW_BATCH_YIELD").alias("code"), F.bround(usable, 4).alias("value"), *no_names)
+    high = both.where((F.col("observed") >= LEAST) & (share >= HIGH_AGENT)).select(*keys, F.lit("HIGH_AGENT_ESCALATION").alias("code"), F.bround(share, 4).alias("value"), *no_names)
     fields = rows.where(F.coalesce("ok", F.lit(False))).select(*keys, F.explode("fields").alias("f")).groupBy(*keys, F.coalesce("f.name", F.lit("UNKNOWN")).alias("name")).agg(F.count("*").alias("n"), F.count_if(F.col("f.status") == "FOUND").alias("found"))
-    gaps = fields.where((F.col("n") >= LEAST) & (F.col("found") == 0)).groupBy(*keys).agg(F.count("*").alias("gaps")).where("gaps > 0").select(*keys, F.lit("SYSTEMATIC_FIELD_GAPS").alias("code"), F.col("gaps").cast("double").alias("value"))
-    empty = c.where("attempted = 0").select(*keys, F.lit("EMPTY_INPUT_SET").alias("code"), F.lit(0.0).alias("value"))
-    return low.unionByName(high).unionByName(gaps).unionByName(empty)
+    # Field names of a batch are those of its specs, so a group's list is short.
+    gaps = fields.where((F.col("n") >= LEAST) & (F.col("found") == 0)).groupBy(*keys).agg(F.array_sort(F.collect_list("name")).alias("names")).where("size(names) > 0").select(
+        *keys, F.lit("SYSTEMATIC_FIELD_GAPS").alias("code"), F.size("names").cast("double").alias("value"), F.slice("names", 1, SHOWN).alias("fields"), F.greatest(F.lit(0), F.size("names") - SHOWN).alias("omitted")
+    )
+    empty = [] if keys else [c.where("attempted = 0").select(F.lit("EMPTY_INPUT_SET").alias("code"), F.lit(0.0).alias("value"), *no_names)]
+    return reduce(DataFrame.unionByName, [low, high, gaps, *empty])
+
+
+def summary(rows: DataFrame, total: int, skipped: int) -> dict:
+    """Counters of a finished batch as one object; a few small aggregates come to the driver."""
+    ok = rows.where(F.coalesce("ok", F.lit(False)))
+    out = {"total": total, "skipped": skipped, **counters(rows).first().asDict()}
+    out["unconfirmed_fields"] = out["unconfirmed_fields"] or 0
+    out["flagged_rows"] = ok.where(F.exists("fields", lambda f: F.size(f.signals) > 0)).count()
+    fields = ok.select(F.explode("fields").alias("f"))
+    pairs = lambda df: {r["code"]: r["n"] for r in df.collect()}
+    out["error_codes"] = pairs(error_codes(rows))
+    out["stage_hits"] = pairs(fields.where("f.stage is not null").groupBy(F.col("f.stage").alias("code")).agg(F.count("*").alias("n")))
+    out["signals"] = pairs(exploded_counts(fields.select("f.signals"), "signals", "UNKNOWN_SIGNAL"))
+    by_name: dict = {}
+    out["field_statuses"] = {}
+    for r in field_outcomes(rows).collect():
+        (by_name.setdefault(r["name"], {}) if r["name"] is not None else out["field_statuses"])[r["status"]] = r["n"]
+    out["field_outcomes"] = by_name
+    out["advisories"] = [{"code": r["code"], "value": r["value"], **({"fields": r["fields"], "omitted": r["omitted"]} if r["fields"] else {})} for r in advisories(rows).collect()] if total else [{"code": "EMPTY_INPUT_SET", "value": 0.0}]
+    return out
 
 
 def preflight(rows: DataFrame, order: list[str], by: list[str]) -> DataFrame:

@@ -91,8 +91,18 @@ def _ready(specs: list) -> list[dict]:
     return S.field_specs(specs)
 
 
-def _replay(prepared: DataFrame, specs: list[dict], start: dict[str, str], render: str, learn: bool) -> DataFrame:
-    """Results and, as rows without page, the state of each (scope, field)."""
+def _with_states(prepared: DataFrame, start: DataFrame | None) -> DataFrame:
+    """Adds the states that the scopes begin with, as rows before their first page; scopes without pages are left out."""
+    rows = prepared.withColumns({"field": F.lit(None).cast("string"), "state": F.lit(None).cast("string")})
+    if start is None:
+        return rows
+    known = start.join(prepared.select("scope").distinct(), "scope", "left_semi")
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in prepared.schema}
+    return rows.unionByName(known.select(*[F.lit(-(2**63)).cast("long").alias(c) if c == "seq" else "scope" if c == "scope" else empty[c] for c in prepared.columns], "field", "state"))
+
+
+def _replay(prepared: DataFrame, specs: list[dict], start: DataFrame | None, render: str, learn: bool) -> DataFrame:
+    """Results and, as rows with a state, the state of each (scope, field)."""
     ddl = RESULT + ", state string"
     schema = arrow_schema(ddl)
 
@@ -107,9 +117,11 @@ def _replay(prepared: DataFrame, specs: list[dict], start: dict[str, str], rende
             for r in b.to_pylist():
                 if books is None or r["scope"] != scope:
                     rows += states()
-                    scope = r["scope"]
-                    books = {f: Portfolio.load(s) for f, s in json.loads(start.get(scope, "{}")).items()}
-                rows += page_fields(books, specs, r["page_id"], r["url"], scope, r["seq"], r["html"], r["rendered"], render, learn)
+                    scope, books = r["scope"], {}
+                if r["state"] is not None:
+                    books[r["field"]] = Portfolio.load(json.loads(r["state"]))
+                else:
+                    rows += page_fields(books, specs, r["page_id"], r["url"], scope, r["seq"], r["html"], r["rendered"], render, learn)
             yield pa.RecordBatch.from_pylist(rows, schema)
         if books is not None:
             yield pa.RecordBatch.from_pylist(states(), schema)
@@ -117,13 +129,20 @@ def _replay(prepared: DataFrame, specs: list[dict], start: dict[str, str], rende
     # A set number of partitions: few bytes are much work here, so they must not be merged.
     width = max(2 * prepared.sparkSession.sparkContext.defaultParallelism, int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = F.coalesce("page_id", F.lit(0))
-    return prepared.repartition(width, "scope").sortWithinPartitions("scope", "seq", order).mapInArrow(run, ddl)
+    return _with_states(prepared, start).repartition(width, "scope").sortWithinPartitions("scope", "seq", order).mapInArrow(run, ddl)
 
 
-def replay(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Exact results and states; each scope's pages are one task's work."""
-    out = cut(_replay(_prepared(pages, scope, seq), _ready(specs), {}, render, learn))
-    return out.where("page_id is not null").drop("state"), out.where("page_id is null").select("scope", "field", "state")
+def _split(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return out.where("state is null").drop("state"), out.where("state is not null").select("scope", "field", "state")
+
+
+def replay(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn: bool = True, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exact results and states; each scope's pages are one task's work.
+
+    start(scope, field, state): the states of an earlier run, one row each, from
+    which the scopes go on; the states given back hold them with what this run
+    changed.  Without `learn` rules are used and judged, but none is added."""
+    return _split(cut(_replay(_prepared(pages, scope, seq), _ready(specs), start, render, learn)))
 
 
 def apply_rules(prepared: DataFrame, specs: list[dict], states: DataFrame, render: str = "auto") -> DataFrame:
@@ -149,25 +168,24 @@ def apply_rules(prepared: DataFrame, specs: list[dict], states: DataFrame, rende
     return rows.mapInArrow(run, RESULT)
 
 
-def extract(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+def extract(pages: DataFrame, specs: list, scope: Column | None = None, seq: str | None = None, render: str = "auto", learn_pages: int | None = None, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, states), exact for scopes of any size.
 
     Only where a caller sets `learn_pages` are rules learned on that many pages
     of each scope and applied to the rest in parallel; then pages of the rest
-    teach nothing and are not in the states.  Null html counts as an empty
+    teach nothing and are not in the states.  `start` is as in `replay`.  Null html counts as an empty
     page; a url that repeats is one more page of its scope; ties in `seq` go by
     page_id."""
     if learn_pages is None:
-        return replay(pages, specs, scope, seq, render)
+        return replay(pages, specs, scope, seq, render, start=start)
     ready = _ready(specs)
     p = _prepared(pages, scope, seq)
     order = Window.partitionBy("scope").orderBy("seq", "page_id")
     # Only numbers are ranked; the limit is applied before the shuffle as well as after it.
     first = cut(p.select("scope", "seq", "page_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= learn_pages).select("page_id"))
-    learned = cut(_replay(p.join(first, "page_id", "left_semi"), ready, {}, render, True))
-    states = learned.where("page_id is null").select("scope", "field", "state")
+    learned, states = _split(cut(_replay(p.join(first, "page_id", "left_semi"), ready, start, render, True)))
     rest = apply_rules(p.join(first, "page_id", "left_anti"), ready, states, render)
-    return learned.where("page_id is not null").drop("state").unionByName(rest), states
+    return learned.unionByName(rest), states
 
 
 def calls(results: DataFrame) -> DataFrame:
@@ -192,7 +210,7 @@ def gated(status: Column, provenance: Column, least: Column) -> Column:
 
 
 def fold_counters(states: DataFrame, results: DataFrame) -> DataFrame:
-    """(scope, field, kind, pattern, hits, total_misses) that applied pages add to each rule."""
+    """(scope, field, rule_kind, rule_pattern, hits, confirmed_hits) that applied pages add to each rule."""
     return results.where("stage = 'recipe' and not compiled").groupBy("scope", "field", "rule_kind", "rule_pattern").agg(F.count("*").alias("hits"), F.count_if(F.size("confirmed_by") > 0).alias("confirmed_hits"))
 
 

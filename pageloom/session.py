@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("a cluster must name a folder that its executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
     return sc.getCheckpointDir()
 
@@ -52,12 +54,19 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a scan reads at least in one partition, as Spark plans it by default.
+_OPEN_COST = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, where a small input would keep most of them idle.
+    """A scan in as many partitions as there are cores, where its files are so small that most cores would be idle.
 
-    Large inputs have more partitions than that and are left where they are."""
+    Told by the size of the files alone: nothing runs while the query is built,
+    and larger inputs, which fill all cores by themselves, are never shuffled."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(slots) if size < slots * _OPEN_COST else df
 
 
 def col_or_null(df: DataFrame, name: str, kind: str):

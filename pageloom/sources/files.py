@@ -27,10 +27,10 @@ def url_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_log(spark: SparkSession, path: str, schema: str = "url string, ok boolean, status string, error struct<code:string,message:string,recoverable:boolean>") -> DataFrame:
-    """Rows of a JSON-lines log with their line number; torn lines are left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """Rows of a JSON-lines log with their line number and when their file was written; torn lines are left out."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_modification_time").alias("written"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     parsed = lines.withColumn("r", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
-    return parsed.where("trim(value) <> '' and r._bad is null and r.url is not null").select("line", "r.*").drop("_bad")
+    return parsed.where("trim(value) <> '' and r._bad is null and r.url is not null").select("written", "line", "r.*").drop("_bad")
 
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:

@@ -4,6 +4,7 @@ from pageloom.functions.rules import apply_rule, compile_rule
 from pageloom.functions.scalars import field_spec
 from pageloom.operators import extraction, expansion
 from pageloom.plans import portfolio as plans
+from pyspark.sql import functions as F
 
 PRICE = {"name": "price", "type": "price", "aliases": ["Kaufpreis"], "paths": ["offers.price"]}
 
@@ -112,6 +113,74 @@ def test_late_pages_of_a_scope_teach(spark):
     assert __import__("json").loads(states.first()["state"]) == books["price"].dump()
 
 
+def test_a_second_run_goes_on_where_the_first_ended(spark, tmp_path):
+    """Two runs with the states of the first give what one run over all pages gives; scopes that do not come again stay in the store."""
+    from pageloom.api import RuleStore
+
+    new = lambda p: f"<html><body><h1>Haus</h1><div>Kaufpreis: <b>{p} €</b></div></body></html>"
+    htmls = [page(f"{100 + i}.000") for i in range(4)] + [new(f"{200 + i}.000") for i in range(6)]
+    rows = [(i, f"https://a.example/expose/{i}", h) for i, h in enumerate(htmls)]
+    ddl = "page_id long, url string, html string"
+    whole, end = extraction.replay(spark.createDataFrame(rows, ddl), [PRICE])
+    store = RuleStore(spark, str(tmp_path / "rules"))
+    got = {}
+    for part in (rows[:3] + [(90, "https://b.example/x/1", page("5.000"))], rows[3:6], rows[6:]):
+        base = store.version()
+        res, states = extraction.extract(spark.createDataFrame(part, ddl), [PRICE], start=store.states())
+        got |= {r["page_id"]: (r["stage"], r["number"], r["attempts"]) for r in res.collect()}
+        store.save(states, base)
+    want = {r["page_id"]: (r["stage"], r["number"], r["attempts"]) for r in whole.collect()}
+    got.pop(90)
+    assert got == want and got[3][0] == "recipe" and any("promoted" in a for g in got.values() for a in g[2])
+    load = lambda df: {(r["scope"], r["field"]): __import__("json").loads(r["state"]) for r in df.collect()}
+    kept = load(store.states())
+    assert kept.pop(("b.example/x/*", "price"))["rules"] and kept == load(end)
+    try:
+        store.save(end, 1)
+        raise AssertionError("the version is old")
+    except RuntimeError:
+        pass
+    assert {r["scope"] for r in store.rules().collect()} == {"a.example/expose/*", "b.example/x/*"} and store.forget("b.example/x/*") == 1
+
+
+def test_batch_runs_resume_and_stop_early(spark, tmp_path):
+    from pageloom.operators import batchrun
+    from pageloom.sources.files import result_log, write_jsonl
+
+    ddl = "page_id long, url string, html string, status int"
+    pages = spark.createDataFrame([(1, "u1", page("1.000"), 200), (2, "u1", page("2.000"), 200), (3, "u2", "<p>x</p>", 200), (4, "u3", page("3.000"), 500), (5, "u4", page("4.000"), 429), (6, "u5", page("5.000"), 404)], ddl)
+    urls = spark.createDataFrame([(u, i) for i, u in enumerate(["u1", "u2", "u3", "u4", "u5", "u6", "u1", " "])], "url string, pos long")
+    got = batchrun.run(pages, urls, [PRICE])
+    assert {r["url"]: (r["ok"], r["status"], r["error"] and r["error"]["code"]) for r in got["rows"].collect()} == {
+        "u1": (True, "COMPLETE", None), "u2": (True, "INCOMPLETE", None), "u3": (False, "ERROR", "HTTP_ERROR"), "u4": (False, "ERROR", "BLOCKED"), "u5": (False, "ERROR", "HTTP_ERROR"), "u6": (False, "ERROR", "FETCH_FAILED")
+    }
+    b = got["summary"]["batch"]
+    assert (got["code"], b["total"], b["skipped"], b["attempted"], b["complete"], b["incomplete"], b["errors"], b["error_codes"]) == (0, 6, 0, 6, 1, 1, 4, {"HTTP_ERROR": 2, "BLOCKED": 1, "FETCH_FAILED": 1})
+    assert b["field_outcomes"] == {"price": {"FOUND": 1, "NEEDS_AGENT": 1}} and b["stage_hits"] == {"label": 1}
+    write_jsonl(got["rows"], str(tmp_path / "log"))
+    again = batchrun.run(pages, urls, [PRICE], result_log(spark, str(tmp_path / "log")), ["written", "line"])
+    # A server's error, a block and a missing page may mend; a 404 and what went well are final.
+    assert {r["url"] for r in again["rows"].collect()} == {"u3", "u4", "u6"} and again["summary"]["batch"]["skipped"] == 3
+    many = spark.range(1200).select(F.concat(F.lit("m"), "id").alias("url"), F.col("id").alias("pos"))
+    empty = many.select(F.col("pos").alias("page_id"), "url", F.lit("<p>x</p>").alias("html"))
+    stopped = batchrun.run(empty, many, [PRICE])
+    assert stopped["code"] == 3 and stopped["rows"].count() == 10 and {a["code"] for a in stopped["summary"]["preflight"]["advisories"]} == {"LOW_BATCH_YIELD", "HIGH_AGENT_ESCALATION"}
+    assert batchrun.run(empty, many, [PRICE], go_on=True)["rows"].count() == 1200
+    nothing = batchrun.run(pages, urls.limit(0), [PRICE])
+    assert nothing["rows"].count() == 0 and [a["code"] for a in nothing["summary"]["batch"]["advisories"]] == ["EMPTY_INPUT_SET"]
+
+
+def test_sql_functions_are_the_native_ones(spark):
+    from pageloom.api import register, safe_call
+    from pageloom.functions import native as N
+
+    register(spark)
+    x = spark.createDataFrame([(t,) for t in ("1.234,56 €", "1,234.56", "-12'000", "３ Zimmer", "1.234", "1,5", "1.2.3", "", None, "a", "https://www.A.example/x/12/Some-Very-Long-Slug-With-Many-Words/d.html?q=1", "//h/", "ftp://u:p@h:80/a.b.c")], "x string")
+    for r in x.select("x", F.expr("page_number(x)").alias("a"), N.parse_number(F.col("x")).alias("b"), F.expr("page_scope(x)").alias("c"), N.scope_of(F.col("x")).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"], r
+    assert safe_call(lambda: 1) == {"ok": True, "value": 1} and safe_call(field_spec, {})["error"]["code"] == "FIELD_INVALID" and safe_call(lambda: 1 / 0)["error"]["code"] == "INTERNAL_ERROR"
+
+
 def test_rules():
     html = page("100.000", extra='<a id="item-4711">x</a>')
     rule = compile_rule(html, "100.000 €", "price", "Kaufpreis")
