@@ -94,6 +94,17 @@ _KIDS = f"""{_PAGED}, kids AS (SELECT m.page_id, m.pos, m.href, {Q.scope("m.href
  g AS (SELECT page_id, scope, count(DISTINCT href) AS n, arg_min(href, pos) AS first_url, count(DISTINCT {Q.part("href", "path")}) AS paths FROM kids GROUP BY 1, 2 HAVING count(DISTINCT href) >= 2)"""
 _VISIBLE = f"""length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]+>', ' ', 'g'), '{Q.UNI_WS}+', ' ', 'g')))"""
 _TERMS = SEARCH.lower().split()
+_SCORED = f"""WITH {_SRC}, t AS (SELECT unnest({_TERMS!r}) AS term),
+ b AS (SELECT page_id, block_id, regexp_extract_all({Q.fold("text")}, '[a-z0-9]+') AS tok, list_transform(section, lambda h: regexp_extract_all({Q.fold("h")}, '[a-z0-9]+')) AS heads, regexp_extract_all({Q.fold("array_to_string(emphasis, ' ')")}, '[a-z0-9]+') AS strong, ({_LEVEL}) * ({_FACTOR}) AS weight FROM bl),
+ p AS (SELECT page_id, count(*) AS n, CASE WHEN sum(len(tok)) = 0 THEN 1.0 ELSE sum(len(tok)) / count(*) END AS avg_len FROM b GROUP BY 1),
+ d AS (SELECT b.page_id, t.term, count(*) FILTER (list_contains(b.tok, t.term)) AS df FROM b, t GROUP BY 1, 2),
+ ti AS (SELECT page_id, regexp_extract_all({Q.fold("regexp_extract(html, '<title>([^<]*)', 1)")}, '[a-z0-9]+') AS title FROM fetch_results),
+ x AS (SELECT b.page_id, b.block_id, t.term, ln(1 + (p.n - d.df + 0.5) / (d.df + 0.5)) AS idf, len(list_filter(b.tok, lambda q: q = t.term)) AS tf, 0.25 + 0.75 * len(b.tok) / p.avg_len AS norm, b.weight, list_contains(b.strong, t.term) AS strong, list_contains(ti.title, t.term) AS titled,
+   coalesce(list_max(list_transform(b.heads, lambda h, i: CASE WHEN list_contains(h, t.term) THEN 0.5 + 0.5 * i / len(b.heads) ELSE 0 END)), 0) AS near
+   FROM b JOIN p ON b.page_id = p.page_id CROSS JOIN t JOIN d ON d.page_id = b.page_id AND d.term = t.term JOIN ti ON ti.page_id = b.page_id WHERE len(b.tok) > 0),
+ y AS (SELECT page_id, block_id, sum(CASE WHEN tf > 0 THEN idf * (tf * 2.2 / (tf + 1.2 * norm)) * weight + CASE WHEN strong THEN idf ELSE 0 END + CASE WHEN titled THEN idf * 0.75 ELSE 0 END ELSE 0 END + idf * 0.6 * near) AS raw,
+   list_sort(list(term) FILTER (tf > 0 OR near > 0)) AS matched FROM x GROUP BY 1, 2),
+ z AS (SELECT page_id, block_id, raw * (0.5 + 0.5 * len(matched) / {len(_TERMS)}) AS score, matched FROM y WHERE raw > 0)"""
 ORACLE = {
     "g_blocks": f"WITH {_SRC} SELECT page_id, block_id, kind, {Q.norm('text')} AS text, region, CAST(round(({_LEVEL}) * ({_FACTOR}), 4) AS DOUBLE) AS weight, table_row, heading_level, CAST(len(emphasis) AS INTEGER) AS strong, CAST(len(section) AS INTEGER) AS depth FROM bl",
     "g_links": f"WITH {_SRC} SELECT page_id, pos, href, {Q.norm('text')} AS text, internal, nofollow, block_id, array_to_string(rel, ' ') AS rel FROM lk",
@@ -110,17 +121,15 @@ ORACLE = {
     "v_children": f"WITH {_KIDS} SELECT page_id, scope, CASE WHEN contains(scope, '*') OR paths = 1 THEN 'detail_candidates' ELSE 'child_candidates' END AS kind, CAST(n AS INTEGER) AS n, first_url FROM g",
     "v_coverage": f"""WITH {_KIDS}, c AS (SELECT p.page_id, coalesce(CASE WHEN s.last IS NULL THEN s.nx IS NOT NULL ELSE s.cur < s.last END, false) AS open, p.page_id IN (SELECT page_id FROM pu) AND s.la IS NULL AS unbounded, p.page_id IN (SELECT page_id FROM g) AS kids FROM src p LEFT JOIN s ON p.page_id = s.page_id)
  SELECT CASE WHEN open OR unbounded OR kids THEN 'INCOMPLETE' ELSE 'UNKNOWN' END AS coverage_status, concat_ws('+', CASE WHEN open THEN 'PAGINATION_OPEN' WHEN unbounded THEN 'PAGINATION_UNBOUNDED' END, CASE WHEN kids THEN 'CHILD_LEVEL_CANDIDATES' END) AS signals, count(*) AS pages FROM c GROUP BY 1, 2""",
-    "r_search": f"""WITH {_SRC}, t AS (SELECT unnest({_TERMS!r}) AS term),
- b AS (SELECT page_id, block_id, regexp_extract_all({Q.fold("text")}, '[a-z0-9]+') AS tok, list_transform(section, lambda h: regexp_extract_all({Q.fold("h")}, '[a-z0-9]+')) AS heads, regexp_extract_all({Q.fold("array_to_string(emphasis, ' ')")}, '[a-z0-9]+') AS strong, ({_LEVEL}) * ({_FACTOR}) AS weight FROM bl),
- p AS (SELECT page_id, count(*) AS n, CASE WHEN sum(len(tok)) = 0 THEN 1.0 ELSE sum(len(tok)) / count(*) END AS avg_len FROM b GROUP BY 1),
- d AS (SELECT b.page_id, t.term, count(*) FILTER (list_contains(b.tok, t.term)) AS df FROM b, t GROUP BY 1, 2),
- ti AS (SELECT page_id, regexp_extract_all({Q.fold("regexp_extract(html, '<title>([^<]*)', 1)")}, '[a-z0-9]+') AS title FROM fetch_results),
- x AS (SELECT b.page_id, b.block_id, t.term, ln(1 + (p.n - d.df + 0.5) / (d.df + 0.5)) AS idf, len(list_filter(b.tok, lambda q: q = t.term)) AS tf, 0.25 + 0.75 * len(b.tok) / p.avg_len AS norm, b.weight, list_contains(b.strong, t.term) AS strong, list_contains(ti.title, t.term) AS titled,
-   coalesce(list_max(list_transform(b.heads, lambda h, i: CASE WHEN list_contains(h, t.term) THEN 0.5 + 0.5 * i / len(b.heads) ELSE 0 END)), 0) AS near
-   FROM b JOIN p ON b.page_id = p.page_id CROSS JOIN t JOIN d ON d.page_id = b.page_id AND d.term = t.term JOIN ti ON ti.page_id = b.page_id WHERE len(b.tok) > 0),
- y AS (SELECT page_id, block_id, sum(CASE WHEN tf > 0 THEN idf * (tf * 2.2 / (tf + 1.2 * norm)) * weight + CASE WHEN strong THEN idf ELSE 0 END + CASE WHEN titled THEN idf * 0.75 ELSE 0 END ELSE 0 END + idf * 0.6 * near) AS raw,
-   list_sort(list(term) FILTER (tf > 0 OR near > 0)) AS matched FROM x GROUP BY 1, 2)
- SELECT page_id, block_id, round(raw * (0.5 + 0.5 * len(matched) / {len(_TERMS)}), 4) AS score, array_to_string(matched, ' ') AS matched FROM y WHERE raw > 0""",
+    "r_search": f"""{_SCORED}
+ SELECT page_id, block_id, round(score, 4) AS score, array_to_string(matched, ' ') AS matched FROM z""",
+    "r_located": f"""{_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, block_id) AS rank FROM z),
+ h AS (SELECT k.page_id, k.rank, k.block_id, k.score, CASE WHEN length(b.text) > 400 THEN left(b.text, 400) || '…' ELSE b.text END AS shown,
+   CASE WHEN n.section = b.section AND length(b.text) < 80 THEN CASE WHEN length(n.text) > 200 THEN left(n.text, 200) || '…' ELSE n.text END END AS next_text
+   FROM k JOIN bl b ON b.page_id = k.page_id AND b.block_id = k.block_id LEFT JOIN bl n ON n.page_id = k.page_id AND n.block_id = k.block_id + 1 WHERE rank <= 3),
+ u AS (SELECT *, sum(length(shown) + length(coalesce(next_text, ''))) OVER (PARTITION BY page_id ORDER BY rank) > 400 AS beyond FROM h),
+ v AS (SELECT *, bool_or(beyond) OVER (PARTITION BY page_id ORDER BY rank) AS stopped FROM u)
+ SELECT page_id, CAST(rank AS INTEGER) AS rank, block_id, round(score, 4) AS score, next_text FROM v WHERE NOT stopped OR rank = 1""",
     "d_challenge": f"""SELECT page_id, CASE WHEN status = 429 THEN 'RATE_LIMITED' WHEN tech <> '' AND (odd OR visible < 600) THEN 'CHALLENGE:' || tech WHEN phrase <> '' AND odd AND visible < 600 THEN 'CHALLENGE:' || phrase WHEN status IN (401, 403) THEN 'HTTP_' || status END AS challenge,
  CASE WHEN status >= 400 THEN 'HTTP_ERROR' END AS error, CASE WHEN status >= 400 THEN status >= 500 END AS recoverable, CAST(visible AS INTEGER) AS visible
  FROM (SELECT page_id, status, status IN (202, 401, 403, 503) AS odd, {_VISIBLE} AS visible, lower(regexp_extract(coalesce(html, ''), '(?i)g-recaptcha|grecaptcha|h-captcha|hcaptcha\\.com|cf-chl-|challenge-platform|cf_chl_opt|cf-turnstile|captcha-delivery|datadome|px-captcha|_incapsula_', 0)) AS tech,

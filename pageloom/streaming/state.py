@@ -78,3 +78,22 @@ def early_stop(stream: DataFrame, path: str, checkpoint: str, order: list[str])
 
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     return said
+
+
+def cache_hits(stream: DataFrame, key: str, order: str, at: str, ttl: float) -> DataFrame:
+    """(key, order, hit) of requests as they arrive, in order of `at` within a batch: a request less than ttl after the last fetch is a hit.
+
+    The state of a key is the time of its last fetch."""
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fetched = state.get[0] if state.exists else None
+        rows, hits = pd.concat(list(pdfs)).sort_values([at, order]), []
+        for t in rows[at].tolist():
+            hits.append(fetched is not None and t - fetched < ttl)
+            if not hits[-1]:
+                fetched = t
+        state.update((fetched,))
+        yield pd.DataFrame({key: k[0], order: rows[order], "hit": hits})
+
+    return stream.select(key, order, at).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean", "fetched double", "append", GroupStateTimeout.NoTimeout)
