@@ -36,6 +36,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return styletree.noise_blocks(table(spark, sf, "fetch_results"), table(spark, sf, "blocks"))
 
 
+def p5_body(spark: SparkSession, sf: str) -> DataFrame:
+    return styletree.body_blocks(table(spark, sf, "fetch_results"), table(spark, sf, "blocks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf, "documents"))
 
@@ -56,11 +60,12 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_usable": p2_usable, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_usable": p2_usable, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_body": p5_body, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
 
+_CANON = lookalike.canonical_sql("(" + lookalike.rare_sql("text") + ")")
 ORACLE = {
-    "p1_texts": f"SELECT page_id, pos, {lookalike.canonical_sql('text')} AS canon FROM links",
-    "p1_found": f"""WITH b AS (SELECT page_id, block_id, text, {lookalike.canonical_sql("text")} AS canon FROM blocks WHERE text <> ''),
- k AS (SELECT page_id, pos, text, {lookalike.canonical_sql("text")} AS canon FROM links WHERE text <> '')
+    "p1_texts": f"SELECT page_id, pos, {_CANON} AS canon FROM links",
+    "p1_found": f"""WITH b AS (SELECT page_id, block_id, text, {_CANON} AS canon FROM blocks WHERE text <> ''),
+ k AS (SELECT page_id, pos, text, {_CANON} AS canon FROM links WHERE text <> '')
  SELECT DISTINCT b.page_id, b.block_id, k.pos FROM b JOIN k ON b.page_id = k.page_id AND b.canon = k.canon WHERE b.text <> k.text AND b.canon <> ''""",
 }

@@ -20,6 +20,14 @@ def test_lookalikes(spark):
     assert lookalike.lookalike_pairs(blocks.limit(0), links).count() == 0
 
 
+@pytest.mark.parametrize("a,b,same", [("𝐇aus", "Haus", True), ("ⅼist", "list", True), ("Ⅷ", "VIII", True), ("ｶﾞ", "ガ", True), ("H\U000e0061aus", "Haus", True), ("ᴏld", "old", True), ("ﬓ", "մն", True), ("Ꭺb", "Ab", True), ("x²", "x2", False), ("½", "1⁄2", False), ("①", "1", False), ("ſo", "so", False), ("a…", "a...", False)])
+def test_compatibility_forms(a, b, same):
+    import pyarrow as pa
+
+    x, y = list(lookalike._normalise([pa.record_batch([pa.array([a, b])], ["canon"])]))[0].column(0).to_pylist()
+    assert (x == y) is same
+
+
 # 2 residue
 PAD = "Ein Absatz über die Wohnung Nummer {} mit Garten, Küche und Blick auf den See, frei ab sofort und mit Keller."
 
@@ -140,6 +148,9 @@ def test_garbled_pages(spark):
 
 
 # 5 boilerplate
+WORDS = ["".join(random.Random(n).choices("abcdefghijklmnop", k=7)) for n in range(300)]
+
+
 def test_main_body(spark):
     def html(i):
         return f'<body><div class="a"><a href="/">Makler</a></div><ul class="b"><li><a href="/1">Start</a><li><a href="/2">Kontakt</a></ul><div class="c"><h1>Haus {i}</h1><p>{PAD.format(i)}</p><div class="p">Newsletter abonnieren</div></div><div class="s"><h3>Beliebt</h3><ul><li><a href="/o/{i}">Objekt {i}</a></ul></div><div class="z"><p>Impressum</p></div></body>'
@@ -154,6 +165,21 @@ def test_main_body(spark):
     assert {text[g] for g in got if g[0] == 3} == {"Makler", "Start", "Kontakt", "Newsletter abonnieren", "Beliebt", "Objekt 3", "Impressum"}
     assert {g for g in got if g[0] in (51, 60)} == {(60, 0)}
     assert styletree.noise_blocks(spark.createDataFrame(pages, BASE).limit(0), blocks.limit(0)).count() == 0
+    body = styletree.body_blocks(spark.createDataFrame(pages, BASE), blocks).collect()
+    assert {(r["page_id"], r["block_id"]) for r in body} == set(text) - got
+    assert {(r["page_id"], r["judged_by"]) for r in body} == {*((i, "tree") for i in (*range(30), 51)), (60, "region")}
+
+
+def test_pages_that_forget_to_close_a_tag(spark):
+    """The path of a node is the one that most pages have, and a branch goes as a whole."""
+    def html(i, close="</div>"):
+        return f'<body><div class="menu"><a href="/">Makler</a>{close}<div class="main"><h1>Haus {i}</h1><div class="text"><p>{" ".join(random.Random(i).choices(WORDS, k=30))}</p></div><div class="box"><p>Rufen Sie uns an</p><div class="in"><p>Wir helfen gern weiter</p></div></div></div><div class="end"><p>Impressum</p></div></body>'
+
+    pages = spark.createDataFrame([(i, "u", "h", html(i, "" if i == 7 else "</div>"), None, 200, "x", "y") for i in range(40)], BASE)
+    verdicts = {r["node"]: (r["chain"], r["why"]) for r in styletree.node_verdicts(styletree.page_nodes(pages)).collect()}
+    path = lambda *n: "\x1f".join(("body", *n))
+    assert verdicts["div.text"] == (path("div.main", "div.text"), None)
+    assert {n: w for n, (_, w) in verdicts.items() if w} == {"div.menu": "outside", "div.box": "repeated", "div.in": "repeated", "div.end": "outside"}
 
 
 # 6 tokens
