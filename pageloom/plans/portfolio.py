@@ -99,7 +99,7 @@ def b_outcomes(spark, sf):
 
 
 def b_advisories(spark, sf):
-    return batch.advisories(table(spark, sf, "result_rows"), ["host"])
+    return batch.advisories(table(spark, sf, "result_rows"), ["host"]).select("host", "code", "value")
 
 
 def b_pending(spark, sf):
