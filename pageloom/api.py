@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,10 @@ class RuleStore:
     """Rules and observations as versioned tables in a folder: a version is seen wholly or not at all."""
 
     def __init__(self, spark: SparkSession, path: str):
+        if not path or not path.strip():
+            raise S.FieldError("STATE_DIR_UNAVAILABLE", "a rule store needs a folder")
+        if os.path.islink(path.rstrip("/")):
+            raise S.FieldError("STATE_DIR_SYMLINK", "the folder of a rule store must not be a link")
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
@@ -107,6 +112,22 @@ class RuleStore:
         return n
 
 
+def page_functions(spark: SparkSession) -> None:
+    """page_blocks(html, url), page_links(html, url) and page_triples(html, url) as table functions, parsed once a row."""
+    from pyspark.sql.functions import udtf
+
+    def of(kind: str):
+        class Parts:
+            def eval(self, html: str, url: str):
+                for r in pagegraph.graph_row(0, url or "", html or "")[kind]:
+                    yield tuple(r.values())
+
+        return Parts
+
+    for name, kind, ddl in (("page_blocks", "blocks", pagegraph.BLOCK), ("page_links", "links", pagegraph.LINK), ("page_triples", "triples", pagegraph.TRIPLE)):
+        spark.udtf.register(name, udtf(of(kind), returnType=ddl.removeprefix("struct<").removesuffix(">")))
+
+
 def register(spark: SparkSession) -> None:
     """The functions as temporary SQL functions, all of them native expressions, and the web source."""
     from pageloom.functions.patterns import UMLAUTS, UNI_WS
@@ -134,6 +155,7 @@ def register(spark: SparkSession) -> None:
     shown = f"transform(slice(filter(split({part(3)}, '/'), s -> s <> ''), 1, 4), s -> CASE WHEN {stem} RLIKE '[0-9]' OR (length({stem}) > 24 AND contains({stem}, '-')) THEN '*' ELSE lower({stem}) END)"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_scope(x STRING) RETURNS STRING RETURN CASE WHEN {host} = '' THEN 'inline' ELSE concat({host}, '/', array_join({shown}, '/')) END")
     web.register(spark)
+    page_functions(spark)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

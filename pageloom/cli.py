@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.api import Pages, RuleStore, exists
 from pageloom.functions.scalars import FieldError
 from pageloom.operators import batch, batchrun
+from pageloom.operators.expansion import report
 from pageloom.operators.extraction import calls
 from pageloom.sources.files import html_files, result_log, url_set, write_jsonl, write_url_list
 
@@ -79,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.what == "expand":
             got = _pages(spark, a).expand(url_set(spark, a.seeds), max_pages=a.max_pages, max_urls=a.max_urls, max_depth=a.max_depth)
             write_url_list(got["details"], a.out)
-            say(limited_by=got["limited_by"], exhausted=got["exhausted"])
+            say(**report(got, url_set(spark, a.seeds)))
         else:
             store = RuleStore(spark, a.store) if a.store else None
             base = store.version() if store else 0

@@ -29,6 +29,7 @@ def source_gate(url: Column, html: Column) -> Column:
     return F.when(u & h, "SOURCE_AMBIGUOUS").when(~u & ~h, "SOURCE_REQUIRED")
 
 
+# Fixed value: what does not show.
 _VISIBLE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]+>"
 
 

@@ -178,6 +178,8 @@ def test_sql_functions_are_the_native_ones(spark):
     x = spark.createDataFrame([(t,) for t in ("1.234,56 €", "1,234.56", "-12'000", "３ Zimmer", "1.234", "1,5", "1.2.3", "", None, "a", "https://www.A.example/x/12/Some-Very-Long-Slug-With-Many-Words/d.html?q=1", "//h/", "ftp://u:p@h:80/a.b.c")], "x string")
     for r in x.select("x", F.expr("page_number(x)").alias("a"), N.parse_number(F.col("x")).alias("b"), F.expr("page_scope(x)").alias("c"), N.scope_of(F.col("x")).alias("d")).collect():
         assert r["a"] == r["b"] and r["c"] == r["d"], r
+    rows = spark.sql("""SELECT b.kind, b.text, k.href FROM VALUES ('<h1>Haus</h1><p>Hier <a href="/x">mehr</a></p>', 'https://a.example/') AS t(html, url), LATERAL page_blocks(html, url) b, LATERAL page_links(html, url) k""").collect()
+    assert sorted(map(tuple, rows)) == [("h1", "Haus", "https://a.example/x"), ("p", "Hier mehr", "https://a.example/x")]
     assert safe_call(lambda: 1) == {"ok": True, "value": 1} and safe_call(field_spec, {})["error"]["code"] == "FIELD_INVALID" and safe_call(lambda: 1 / 0)["error"]["code"] == "INTERNAL_ERROR"
 
 
@@ -234,5 +236,7 @@ def test_expansion_is_the_queue(spark):
     for limits in ((100, 100, 3), (2, 100, 3), (100, 100, 1)):
         got = expansion.expand(f, seeds, *limits)
         pages, out = _queue(graph, ["r"], *limits)
+        told = expansion.report(got, seeds)
+        assert (told["detail_count"], told["source_pages_fetched"], told["error_count"]) == (len(out), len(pages), 0) and sum(x["detail_urls"] for x in told["levels"]) == len(out)
         assert [r["url"] for r in got["pages"].orderBy("n").collect()] == pages
         assert [r["url"] for r in got["details"].orderBy("n").collect()] == out
