@@ -51,15 +51,21 @@ def labelled(page: Page, labels: list[str], kind: str) -> list[tuple[str, str, i
     question = (tuple(labels), kind)
     if question in page.memo:
         return page.memo[question]
-    found = [S.alias_pattern(a) for a in labels if a.strip()]
-    beside, nearby, inside = [], [], []
     blocks = page.blocks
+    low = page.memo.get("folded")
+    if low is None:
+        low = page.memo["folded"] = [b.text.casefold() for b in blocks]
+        page.memo["all folded"] = "\n".join(low)
+    whole = page.memo["all folded"]
+    # Few labels are on a page at all; the others are not searched for in its blocks.
+    found = [(key, S.alias_pattern(a)) for a in labels if a.strip() and (key := S.alias_key(a)) in whole]
+    beside, nearby, inside = [], [], []
     main_first = sorted(range(len(blocks)), key=lambda i: (blocks[i].region != "main", i)) if found else []
     for i in main_first:
         b = blocks[i]
         if b.level and len(b.text) > P.LABEL_CHARS:
             continue
-        m = next((m for m in (p.search(b.text) for p in found) if m), None)
+        m = next((m for key, p in found if key in low[i] and (m := p.search(b.text))), None)
         if m is None:
             continue
         rest = b.text[m.end() :]
@@ -81,7 +87,7 @@ def labelled(page: Page, labels: list[str], kind: str) -> list[tuple[str, str, i
             if c.level or c.region != b.region or c.section != b.section:
                 continue
             shared = next((k for k, (x, y) in enumerate(zip(b.ancestry, c.ancestry)) if x != y), min(len(b.ancestry), len(c.ancestry)))
-            if shared < max(1, min(len(b.ancestry), len(c.ancestry)) - 1) or (len(c.text) <= P.LABEL_CHARS and any(p.search(c.text) for p in found)):
+            if shared < max(1, min(len(b.ancestry), len(c.ancestry)) - 1) or (len(c.text) <= P.LABEL_CHARS and any(key in low[j] and p.search(c.text) for key, p in found)):
                 continue
             value = S.value_from(c.text, kind)
             if value and j != used:

@@ -100,8 +100,8 @@ def _join(base: str, href: str) -> str:
         return href
 
 
-def parse(html: str | None, url: str = "", links: bool = True) -> Page:
-    """The page graph of html; with links=False only title and blocks, for passes that need no more."""
+def parse(html: str | None, url: str = "", links: bool = True, follow: bool = True) -> Page:
+    """The page graph of html; with links=False only title and blocks, with follow=False all but links, for passes that need no more."""
     page = Page(url)
     if not html:
         return page
@@ -229,7 +229,7 @@ def parse(html: str | None, url: str = "", links: bool = True) -> Page:
                 elif name == "html":
                     page.lang = attributes(raw).get("lang") or page.lang
                 elif name in ("meta", "link"):
-                    if links:
+                    if links and (follow or name == "meta"):
                         (_meta if name == "meta" else _head_link)(page, attributes(raw), base)
                     continue
                 elif name == "base":
@@ -283,7 +283,7 @@ def parse(html: str | None, url: str = "", links: bool = True) -> Page:
             if not strong:
                 strong_buf.append("".join(strong_now))
         if name == "a" and anchor is not None:
-            if links:
+            if links and follow:
                 _finish(page, anchor, "".join(anchor_buf), base, len(blocks))
             anchor = None
         if flags & (_TEXT | _BOX):

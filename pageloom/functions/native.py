@@ -34,9 +34,9 @@ def _java(kind: str) -> str:
     return "(?U)" + p if not p.startswith("(?i)") else "(?iU)" + p[4:]
 
 
-def find_typed(c: Column, kind: str) -> Column:
-    """The first part of the text that has the shape of `kind`; null where there is none."""
-    text = normalize(c)
+def find_typed(c: Column, kind: str, normal: bool = False) -> Column:
+    """The first part of the text that has the shape of `kind`; null where there is none.  `normal`: the text is normalised."""
+    text = c if normal else normalize(c)
     if kind == "text":
         return F.nullif(text, F.lit(""))
     if kind not in FIELD_TYPES:

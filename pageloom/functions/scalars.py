@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from html import unescape
 from typing import Any
 from urllib.parse import urlsplit
@@ -120,6 +121,15 @@ def alias_pattern(alias: str) -> re.Pattern:
     return _ALIASES[alias]
 
 
+_SPELLED = re.compile("|".join([*P.UMLAUTS.values(), r"[^a-z0-9]+"]))
+
+
+@lru_cache(10_000)
+def alias_key(alias: str) -> str:
+    """The longest piece of a label that every text with the label holds, case folded, whatever its umlauts and blanks."""
+    return max(_SPELLED.split(fold(alias)), key=len)
+
+
 def scope_of(url: str) -> str:
     try:
         parts = urlsplit(url or "")

@@ -44,7 +44,7 @@ def js_score(page: Page) -> float:
 def page_fields(books: dict[str, Portfolio], specs: list[dict], page_id, url: str, scope: str, seq: int, html: str | None, rendered: str | None, render: str, learn: bool) -> list[dict]:
     """All fields of one page; changes the portfolios."""
     html = html or ""
-    page = parse(html, url)
+    page = parse(html, url, follow=False)
     flat = C.triples(page)
     out, second = [], None
     for spec in specs:
@@ -61,7 +61,7 @@ def page_fields(books: dict[str, Portfolio], specs: list[dict], page_id, url: st
             elif r is None:
                 attempts.append("render:RENDERED")
                 if second is None:
-                    p2 = parse(rendered, url)
+                    p2 = parse(rendered, url, follow=False)
                     second = (p2, C.triples(p2))
                 r = visit(book, spec, *second, rendered, scope, url, seq, learn, attempts)
                 if r is not None:

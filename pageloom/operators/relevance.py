@@ -16,47 +16,52 @@ from pageloom.operators.summary import bounded
 K1, B, EMPHASIS, SECTION, TITLE = 1.2, 0.75, 1.0, 0.6, 0.15 * 5.0
 
 
-def _has_token(t: str):
-    return lambda d: F.array_contains(d.tokens, t)
-
-
-def _is(t: str):
-    return lambda x: x == t
-
-
-def _nearness(t: str, depth):
-    return lambda h, i: F.when(F.array_contains(h, t), 0.5 + 0.5 * (i + 1) / depth)
+#: Between the headings of a block while they are folded; no page text holds it.
+_BETWEEN = "\x01"
 
 
 def score_blocks(graph: DataFrame, query: str) -> DataFrame:
-    """(page_id, block_id, text, section, score, matched) of blocks with a positive score.  A query without tokens finds nothing."""
+    """(page_id, block_id, text, section, score, matched) of blocks with a positive score.  A query without tokens finds nothing.
+
+    Each block is folded once and its terms are counted in place; what follows
+    reads the counts."""
     import re
 
     plain = query.lower().translate(str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}))
     terms = list(dict.fromkeys(re.findall("[a-z0-9]+", plain)))
-    g = graph.select("page_id", F.array_distinct(N.tokens(F.col("title"))).alias("title_tokens"), F.transform("blocks", lambda b: F.struct(
-        b.block_id.alias("block_id"), b.text.alias("text"), b.section.alias("section"), b.weight.alias("weight"), N.tokens(b.text).alias("tokens"),
-        F.array_distinct(N.tokens(F.array_join(b.emphasis, " "))).alias("strong"), F.transform(b.section, lambda h: N.tokens(h)).alias("heads"),
+    word = lambda t: rf"(?<![a-z0-9]){t}(?![a-z0-9])"
+    count = lambda text, t: F.when(text.contains(t), F.regexp_count(text, F.lit(word(t)))).otherwise(0)
+    some = lambda xs, kind: F.array(*xs) if xs else F.array().cast(f"array<{kind}>")
+    folded = graph.select("page_id", N.fold(F.col("title")).alias("title"), F.transform("blocks", lambda b: F.struct(
+        b.block_id.alias("block_id"), b.text.alias("text"), b.section.alias("section"), b.weight.alias("weight"), N.fold(b.text).alias("folded"),
+        N.fold(F.array_join(b.emphasis, " ")).alias("strong"), F.when(F.size(b.section) > 0, F.split(N.fold(F.array_join(b.section, _BETWEEN)), _BETWEEN)).otherwise(F.array().cast("array<string>")).alias("heads"),
     )).alias("docs"))
-    n, total = F.size("docs"), F.aggregate("docs", F.lit(0), lambda a, d: a + F.size(d.tokens))
-    g = g.withColumn("n", n).withColumn("avg", F.when(total == 0, 1.0).otherwise(total / n))
-    for i, t in enumerate(terms):
-        df = F.size(F.filter("docs", _has_token(t)))
-        g = g.withColumn(f"idf{i}", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)))
-    rows = g.select("page_id", "title_tokens", "avg", *[f"idf{i}" for i in range(len(terms))], F.explode("docs").alias("d"))
-    norm = 1 - B + B * F.size("d.tokens") / F.col("avg")
+
+    def nearness(heads, t):
+        at = F.transform(heads, lambda h, i: F.when(h.contains(t) & h.rlike(word(t)), 0.5 + 0.5 * (i + 1) / F.size(heads)).otherwise(0.0))
+        return F.coalesce(F.array_max(at), F.lit(0.0))
+
+    g = folded.select("page_id", some([count(F.col("title"), t) > 0 for t in terms], "boolean").alias("titled"), F.transform("docs", lambda d: F.struct(
+        d.block_id.alias("block_id"), d.text.alias("text"), d.section.alias("section"), d.weight.alias("weight"), F.regexp_count(d.folded, F.lit("[a-z0-9]+")).alias("n"),
+        some([count(d.folded, t) for t in terms], "int").alias("tf"), some([count(d.strong, t) > 0 for t in terms], "boolean").alias("strong"), some([nearness(d.heads, t) for t in terms], "double").alias("near"),
+    )).alias("docs"))
+    n, total = F.size("docs"), F.aggregate("docs", F.lit(0), lambda a, d: a + d.n)
+    with_term = lambda i: lambda a, d: a + (d.tf[i] > 0).cast("int")
+    df = [F.aggregate("docs", F.lit(0), with_term(i)) for i in range(len(terms))]
+    g = g.select("page_id", "titled", F.when(total == 0, 1.0).otherwise(total / n).alias("avg"), some([F.log(1 + (n - x + 0.5) / (x + 0.5)) for x in df], "double").alias("idf"), "docs")
+    rows = g.select("page_id", "titled", "avg", "idf", F.explode("docs").alias("d")).where("d.n > 0")
+    if terms:
+        rows = rows.where(F.exists("d.tf", lambda x: x > 0) | F.exists("d.near", lambda x: x > 0))
+    norm = 1 - B + B * F.col("d.n") / F.col("avg")
     score, hit = F.lit(0.0), []
     for i, t in enumerate(terms):
-        tf = F.size(F.filter("d.tokens", _is(t)))
-        depth = F.size("d.heads")
-        near = F.coalesce(F.array_max(F.transform("d.heads", _nearness(t, depth))), F.lit(0.0))
-        idf, there = F.col(f"idf{i}"), tf > 0
-        part = F.when(there, idf * (tf * (K1 + 1) / (tf + K1 * norm)) * F.col("d.weight") + F.when(F.array_contains("d.strong", t), idf * EMPHASIS).otherwise(0.0)).otherwise(0.0)
-        part = part + idf * SECTION * near + F.when(there & F.array_contains("title_tokens", t), idf * TITLE).otherwise(0.0)
-        score = score + part
+        tf, near, idf = F.col("d.tf")[i], F.col("d.near")[i], F.col("idf")[i]
+        there = tf > 0
+        part = F.when(there, idf * (tf * (K1 + 1) / (tf + K1 * norm)) * F.col("d.weight") + F.when(F.col("d.strong")[i], idf * EMPHASIS).otherwise(0.0)).otherwise(0.0)
+        score = score + part + idf * SECTION * near + F.when(there & F.col("titled")[i], idf * TITLE).otherwise(0.0)
         hit.append(F.when(there | (near > 0), F.lit(t)))
     matched = F.array_sort(F.array_compact(F.array(*hit))) if terms else F.array().cast("array<string>")
-    scored = rows.where(F.size("d.tokens") > 0).select("page_id", "d.block_id", "d.text", "d.section", score.alias("raw"), matched.alias("matched"))
+    scored = rows.select("page_id", "d.block_id", "d.text", "d.section", score.alias("raw"), matched.alias("matched"))
     return scored.where("raw > 0").select("page_id", "block_id", "text", "section", (F.col("raw") * (0.5 + 0.5 * F.size("matched") / max(1, len(terms)))).alias("score"), "matched")
 
 

@@ -21,7 +21,10 @@ def q_token_counts(spark, sf):
 
 def q_typed(spark, sf):
     b = spread(table(spark, sf, "blocks").select("page_id", "block_id", "text"))
-    return b.select("page_id", "block_id", *[N.find_typed(F.col("text"), k).alias(k) for k in ("price", "area", "date", "email", "phone", "url", "integer", "number")]).where("coalesce(price, area, date, email, phone, url) is not null")
+    kinds = ("price", "area", "date", "email", "phone", "url", "integer", "number")
+    # All kinds but these need a digit.
+    some = b.where(r"text rlike '[\\p{Nd}@]|://'").withColumn("text", N.normalize(F.col("text")))
+    return some.select("page_id", "block_id", *[N.find_typed(F.col("text"), k, normal=True).alias(k) for k in kinds]).where("coalesce(price, area, date, email, phone, url) is not null")
 
 
 def _german(x):
