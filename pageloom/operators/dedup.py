@@ -114,7 +114,7 @@ def _best_of_chunk(keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndar
 _ARRIVALS = "key string, at long, id long, local boolean"
 
 
-def arrivals(df: DataFrame, id_col: str, msg_col: str, time_col: str, key: Callable[[str], Column] = exact_key) -> DataFrame:
+def arrivals(df: DataFrame, id_col: str, msg_col: str, time_col: str, key: Callable[[str], Column] = hex_key) -> DataFrame:
     """(key, at, id, local): local is false for arrivals that lose within their chunk.
 
     Rows with a null identifier are messages of their own and leave here; a
@@ -290,12 +290,14 @@ def _keep(store: SeenStore, cand: DataFrame, shards: int) -> DataFrame:
     return out.where("bitmap is null").select("id", "kept")
 
 
-def surplus_deliveries(df: DataFrame, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", key: Callable[[str], Column] = exact_key, batches: int = 3, shards: int | None = None) -> DataFrame:
+def surplus_deliveries(df: DataFrame, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", key: Callable[[str], Column] = hex_key, batches: int = 3, shards: int | None = None) -> DataFrame:
     """Ids of all arrivals but the first of each message (least time, then least id).
 
     The arrivals are taken in `batches` slices of time, one after another; what a
     slice has seen is in the bitmaps of a store in the shared folder when the next
-    one comes.  Null identifiers are never surplus; empty input gives no rows;
+    one comes.  `key` says which identifiers are the same: by default their
+    hexadecimal digits, as this project's messages are written; `exact_key` where
+    other characters count.  Null identifiers are never surplus; empty input gives no rows;
     further columns, whatever their names, are not read."""
     spark = df.sparkSession
     a = cut(arrivals(df, id_col, msg_col, time_col, key))
@@ -310,7 +312,7 @@ def surplus_deliveries(df: DataFrame, id_col: str = "delivery_id", msg_col: str
     return lost.select(F.col("id").alias(id_col))
 
 
-def keep_new(store: SeenStore, batch: DataFrame, shards: int, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", key: Callable[[str], Column] = exact_key) -> DataFrame:
+def keep_new(store: SeenStore, batch: DataFrame, shards: int, id_col: str = "delivery_id", msg_col: str = "msg_id", time_col: str = "received_at", key: Callable[[str], Column] = hex_key) -> DataFrame:
     """Ids of a batch's arrivals to keep: the first of each message that no earlier batch has shown.
 
     The batch's new codes are unioned into the store before this returns; if it

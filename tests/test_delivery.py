@@ -37,9 +37,9 @@ def brute(data):
 def test_surplus_is_what_brute_force_finds(spark):
     data = rows(3000, 1)
     df = spark.createDataFrame(data, DDL).repartition(7)
-    got = [r[0] for r in dedup.surplus_deliveries(df, key=dedup.hex_key).collect()]
+    got = [r[0] for r in dedup.surplus_deliveries(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(data)
-    assert dedup.surplus_deliveries(df.limit(0), key=dedup.hex_key).count() == 0
+    assert dedup.surplus_deliveries(df.limit(0)).count() == 0
 
 
 def test_batches_keep_what_no_earlier_batch_had(spark, tmp_path):
@@ -47,7 +47,7 @@ def test_batches_keep_what_no_earlier_batch_had(spark, tmp_path):
     store = dedup.SeenStore(spark, str(tmp_path / "seen"))
     seen, kept = set(), []
     for part in (data[:250], data[250:400], [], data[400:]):
-        kept += [r[0] for r in dedup.keep_new(store, spark.createDataFrame(part, DDL), 4, key=dedup.hex_key).collect()]
+        kept += [r[0] for r in dedup.keep_new(store, spark.createDataFrame(part, DDL), 4).collect()]
     key = lambda m: "".join(c for c in m.lower() if c in "0123456789abcdef")
     want = [d[0] for d in data if d[1] is None]
     for part in (data[:250], data[250:400], data[400:]):
@@ -63,7 +63,7 @@ def test_batches_keep_what_no_earlier_batch_had(spark, tmp_path):
 
 def test_stores_compact_and_refuse_a_taken_number(spark, tmp_path):
     store = dedup.SeenStore(spark, str(tmp_path / "seen"), compact_after=2)
-    ids = [sorted(r[0] for r in dedup.keep_new(store, spark.createDataFrame([(10 * n + i, f"order-{n + i}", datetime(2031, 3, 1), None, "k", 1, "x") for i in range(3)], DDL), 2).collect()) for n in range(5)]
+    ids = [sorted(r[0] for r in dedup.keep_new(store, spark.createDataFrame([(10 * n + i, f"order-{n + i}", datetime(2031, 3, 1), None, "k", 1, "x") for i in range(3)], DDL), 2, key=dedup.exact_key).collect()) for n in range(5)]
     assert ids == [[0, 1, 2], [12], [22], [32], [42]]
     assert store.version()[0] == 5 and len(store.version()[1]["data"]) == 1
     try:
@@ -71,9 +71,9 @@ def test_stores_compact_and_refuse_a_taken_number(spark, tmp_path):
         raise AssertionError("the number was taken")
     except RuntimeError:
         pass
-    # The default key is the identifier itself.
+    # By their hexadecimal digits alone these two were one message.
     two = spark.createDataFrame([(1, "order-12", datetime(2031, 3, 1), None, "k", 1, "x"), (2, "older-12", datetime(2031, 3, 1), None, "k", 1, "x")], DDL)
-    assert dedup.surplus_deliveries(two).count() == 0
+    assert dedup.surplus_deliveries(two, key=dedup.exact_key).count() == 0 and [r[0] for r in dedup.surplus_deliveries(two).collect()] == [2]
 
 
 @settings(max_examples=30, deadline=None)
