@@ -25,22 +25,42 @@ def path_keys(path: str) -> list[str]:
     return [S.fold(k) for k in path.replace(":", ".").split(".") if k]
 
 
+def _asked(spec: dict) -> tuple[list[list[str]], set[str]]:
+    """Keys of the field's paths, and its names."""
+    names = {S.fold(a) for a in [spec["name"], *spec["aliases"]]}
+    return [k for k in map(path_keys, spec["paths"]) if k], names | {n.replace(" ", "") for n in names}
+
+
+def _tier(keys: list[str], asked: tuple[list[list[str]], set[str]]) -> int | None:
+    if not keys:
+        return None
+    return 0 if any(keys[-len(w) :] == w for w in asked[0]) else 1 if keys[-1] in asked[1] else None
+
+
+def asks_for(path: str, spec: dict) -> bool:
+    """Whether structured data at this path are for the field."""
+    return _tier(path_keys(path), _asked(spec)) is not None
+
+
 def structured(flat: list[tuple[str, str, Any]], spec: dict) -> list[tuple[str, str, str]]:
     """(source, path, raw) for the field: those at one of its paths, then those whose last key is an alias."""
-    names = {S.fold(a) for a in [spec["name"], *spec["aliases"]]}
-    names |= {n.replace(" ", "") for n in names}
-    wanted = [k for k in map(path_keys, spec["paths"]) if k]
-    tiers: tuple[list, list] = ([], [])
+    asked, tiers = _asked(spec), ([], [])
     for source, path, value in flat:
-        keys = path_keys(path)
-        raw = S.normalize(value) if keys else ""
-        if raw:
-            at_path = any(keys[-len(w) :] == w for w in wanted)
-            if at_path or keys[-1] in names:
-                tiers[0 if at_path else 1].append((source, path, raw))
+        tier = _tier(path_keys(path), asked)
+        if tier is not None and (raw := S.normalize(value)):
+            tiers[tier].append((source, path, raw))
     return tiers[0] + tiers[1]
 
 
+def by_rule(flat: list[tuple[str, str, Any]], spec: dict) -> dict[str, str]:
+    """What each rule from structured data for the field would find."""
+    asked, out = _asked(spec), {}
+    for source, path, value in flat:
+        if _tier(path_keys(path), asked) is not None:
+            out.setdefault(f"{source.split('[', 1)[0]}|{path}", S.normalize(value))
+    return out
+
+
 def lookup(flat: list[tuple[str, str, Any]], rule: str) -> str | None:
     kind, _, path = rule.partition("|")
     return next((S.normalize(v) for s, p, v in flat if p == path and s.split("[", 1)[0] == kind), None)
