@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def compatibility_forms() -> dict[str, str]:
     for o in (*range(0xA0, 0x3400), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00)):
         c = chr(o)
         how, plain = unicodedata.decomposition(c).split(" ")[0], unicodedata.normalize("NFKC", c)
-        if plain == c or not how.startswith("<") or unicodedata.category(c) not in ("Lu", "Ll", "Lo", "Lm", "Nl", "Nd", "Mn"):
+        if plain == c or 0xFF00 < o < 0xFF5F or not how.startswith("<") or unicodedata.category(c) not in ("Lu", "Ll", "Lo", "Lm", "Nl", "Nd", "Mn"):
             continue
         numeral = unicodedata.category(c) == "Nl" and plain.isascii()
         if how in _SAME_LOOK or numeral or (how == "<compat>" and len(plain) > 1 and plain.isalpha()):
@@ -77,9 +78,11 @@ def _rare() -> tuple[str, dict[str, str], dict[str, str]]:
     return "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in runs) + "]", {c: p for c, p in forms.items() if len(p) == 1}, {c: p for c, p in forms.items() if len(p) > 1}
 
 
-def rare_sql(text: str) -> str:
-    """The SQL expression `text` without compatibility forms and letters of rarer scripts; other texts are only tested for them."""
+def rare_sql(text: str, among: set[str] | None = None) -> str:
+    """The SQL expression `text` without compatibility forms and letters of rarer scripts (those in `among`); other texts are only tested for them."""
     there, one, several = _rare()
+    if among is not None:
+        one, several = ({c: p for c, p in x.items() if c in among} for x in (one, several))
     x = f"translate({text}, {_quote(''.join(one))}, {_quote(''.join(one.values()))})"
     for a, b in several.items():
         x = f"replace({x}, {_quote(a)}, {_quote(b)})"
@@ -100,17 +103,24 @@ def canonical_sql(text: str) -> str:
 
 # A text of printable ASCII with single blanks is its own canonical form; most texts are, and need no more than this test.
 _PLAIN = r"^[!-~]+( [!-~]+)*$"
-# Rare forms go first, in a column of their own, so that the long expression stands in the text once.
-_SQL = f"SELECT * REPLACE (CASE WHEN regexp_matches(canon, '{_PLAIN}') THEN canon ELSE {canonical_sql('canon')} END AS canon) FROM (SELECT * REPLACE (CASE WHEN regexp_matches(canon, '{_PLAIN}') THEN canon ELSE {rare_sql('canon')} END AS canon) FROM part)"
+_SQL = f"SELECT * REPLACE (CASE WHEN regexp_matches(canon, '{_PLAIN}') THEN canon ELSE {canonical_sql('canon')} END AS canon) FROM part"
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
+    rare_class = _rare()[0]
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": True})
     for b in batches:
         con.register("part", pa.Table.from_batches([b]))
-        t = con.sql(_SQL).to_arrow_table().cast(b.schema)
+        # Most parts have no rare form at all; an expression for those that occur is short.
+        rare = pc.match_substring_regex(b.column("canon"), rare_class)
+        if pc.any(rare).as_py():
+            there = set("".join(b.column("canon").filter(pc.fill_null(rare, False)).to_pylist()))
+            sql = _SQL.replace("FROM part", f"FROM (SELECT * REPLACE ({rare_sql('canon', there)} AS canon) FROM part)")
+        else:
+            sql = _SQL
+        t = con.sql(sql).to_arrow_table().cast(b.schema)
         yield from t.combine_chunks().to_batches()
         con.unregister("part")
     con.close()

@@ -337,30 +337,32 @@ def propagate(units: DataFrame, similarity: float = 0.8) -> DataFrame:
 def telling_units(shown: DataFrame, bad_pages: DataFrame, limit: float, z: float, least: int = 3) -> DataFrame:
     """(unit) that bad pages show out of proportion.
 
-    shown(page_id, address, unit): units of main bodies.  A unit tells if it is
-    on at least `least` addresses of bad pages and the lower end of the Wilson
-    interval (z standard errors) of their share in all its addresses is over
-    `limit`.  Texts that pages show whatever they are never tell."""
-    bad = shown.join(bad_pages, "page_id", "left_semi").groupBy("unit").agg(F.count_distinct("address").alias("e"))
-    bad = cut(bad.where(F.col("e") >= least))
-    n = shown.join(bad, "unit").groupBy("unit").agg(F.count_distinct("address").alias("p"), F.first("e").alias("e"))
+    shown(page_id, address, unit, p): units of main bodies and on how many
+    addresses each is.  A unit tells if it is on at least `least` addresses of
+    bad pages and the lower end of the Wilson interval (z standard errors) of
+    their share in all its addresses is over `limit`.  Texts that pages show
+    whatever they are never tell."""
+    n = shown.join(bad_pages, "page_id", "left_semi").groupBy("unit").agg(F.count_distinct("address").alias("e"), F.first("p").alias("p")).where(F.col("e") >= least)
     p, share, zz = F.col("p"), F.col("e") / F.col("p"), z * z
     low = (share + zz / (2 * p) - z * F.sqrt(share * (1 - share) / p + zz / (4 * p * p))) / (1 + zz / p)
     return n.where(low > limit).select("unit")
 
 
-def trusted_by_fetches(own: DataFrame, failed: DataFrame) -> DataFrame:
+def trusted_by_fetches(own: DataFrame, failed: DataFrame, least: int = 3) -> DataFrame:
     """(unit) of messages by what became of the fetches: first by failed pages, then by the messages known so far.
 
     own: nodes of main bodies with their units without label and the number of
-    messages; failed(page_id, failed): one row a page."""
-    shown = own.where("why = ''").select("page_id", "address", F.explode(F.array_distinct(F.concat("reals", "titles"))).alias("unit"))
+    messages; failed(page_id, failed): one row a page.  A unit on fewer than
+    `least` addresses can't tell, so only the others are followed."""
+    each = own.where("why = ''").select("page_id", "address", F.explode(F.array_distinct(F.concat("reals", "titles"))).alias("unit"))
+    often = each.groupBy("unit").agg(F.count_distinct("address").alias("p")).where(F.col("p") >= least)
+    shown = cut(each.join(often, "unit"))
     base = failed.agg(F.avg(F.col("failed").cast("double"))).first()[0] or 0.0
-    known = cut(telling_units(shown, failed.where("failed"), 2 * base, 3.0))
+    known = cut(telling_units(shown, failed.where("failed"), 2 * base, 3.0, least))
     said = own.where("why = '' and told > 0").select("page_id")
     while True:
         bad = said.unionByName(shown.join(known, "unit", "left_semi").select("page_id")).distinct()
-        more = cut(telling_units(shown, bad, 0.25, 2.0).join(known, "unit", "left_anti"))
+        more = cut(telling_units(shown, bad, 0.25, 2.0, least).join(known, "unit", "left_anti"))
         if more.isEmpty():
             return known
         known = known.unionByName(more)
