@@ -107,7 +107,8 @@ def node_verdicts(nodes: DataFrame, low: float = 0.4, template: float = 0.8, lin
     )
     sums = ("m", "chars", "letters", "linked", "titles", "cells", "blocks")
     tree = chains.groupBy("host", "node").agg(F.max_by("chain", F.struct("m", "chain")).alias("chain"), *[F.sum(c).alias(c) for c in sums]).join(content, ["host", "node"])
-    tree = tree.withColumn("path", F.array_except(F.split("chain", "\x1f"), F.array(F.lit("body"), F.lit(""))))
+    # One row a node of a site; all that is large has been summed up in it, once.
+    tree = cut(tree.withColumn("path", F.array_except(F.split("chain", "\x1f"), F.array(F.lit("body"), F.lit("")))))
     worth = F.col("content") * F.col("chars")
     branches = tree.select("host", F.explode("path").alias("branch"), "titles", "chars", worth.alias("worth"), (worth * (1 - F.least(F.lit(1.0), F.col("linked") / F.greatest("chars", F.lit(1))))).alias("told")).groupBy("host", "branch").agg(
         F.sum("titles").alias("titles"), F.sum("told").alias("told"), (F.sum("worth") / F.greatest(F.sum("chars"), F.lit(1))).alias("importance")
