@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Any
 
 from pageloom.functions import patterns as P
@@ -21,14 +22,20 @@ def triples(page: Page) -> list[tuple[str, str, Any]]:
     return out[: 2 * S.MAX_FLAT]
 
 
+@lru_cache(10_000)
 def path_keys(path: str) -> list[str]:
     return [S.fold(k) for k in path.replace(":", ".").split(".") if k]
 
 
+@lru_cache(1000)
+def _asked_for(name: str, aliases: tuple[str, ...], paths: tuple[str, ...]) -> tuple[list[list[str]], set[str]]:
+    names = {S.fold(a) for a in [name, *aliases]}
+    return [k for k in map(path_keys, paths) if k], names | {n.replace(" ", "") for n in names}
+
+
 def _asked(spec: dict) -> tuple[list[list[str]], set[str]]:
     """Keys of the field's paths, and its names."""
-    names = {S.fold(a) for a in [spec["name"], *spec["aliases"]]}
-    return [k for k in map(path_keys, spec["paths"]) if k], names | {n.replace(" ", "") for n in names}
+    return _asked_for(spec["name"], tuple(spec["aliases"]), tuple(spec["paths"]))
 
 
 def _tier(keys: list[str], asked: tuple[list[list[str]], set[str]]) -> int | None:
